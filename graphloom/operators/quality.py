@@ -63,7 +63,7 @@ def quality_report(df: DataFrame, source: str) -> DataFrame:
     )
 
 
-def null_rates(df: DataFrame) -> DataFrame:
+def null_rates(df: DataFrame, keep_rows: bool = False) -> DataFrame:
     """One row per column: null count and rate. One narrow aggregate, turned to rows at the end."""
     counted = df.agg(F.count(F.lit(1)).alias("_rows"), *_null_counts(df))
     rows = F.array(
@@ -75,7 +75,7 @@ def null_rates(df: DataFrame) -> DataFrame:
             for i, c in enumerate(df.columns)
         ]
     )
-    return counted.select(F.inline(rows))
+    return counted.select(*(["_rows"] if keep_rows else []), F.inline(rows))
 
 
 def high_null_columns(df: DataFrame, above: float = 0.20) -> DataFrame:
@@ -83,7 +83,14 @@ def high_null_columns(df: DataFrame, above: float = 0.20) -> DataFrame:
 
 
 def schema_difference(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Every column name of either table and where it occurs. Schemas only, no rows are read."""
-    names = list(dict.fromkeys([*left.columns, *right.columns]))
-    rows = [(c, c in left.columns, c in right.columns) for c in names]
-    return left.sparkSession.createDataFrame(rows, "column string, in_left boolean, in_right boolean")
+    """Every column name of either table: where it occurs and how many values it has there."""
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        filled = F.col("_rows") - F.col("nulls")
+        return null_rates(df, keep_rows=True).select("column", F.lit(True).alias(f"in_{name}"), filled.alias(f"values_{name}"))
+
+    both = side(left, "left").join(side(right, "right"), "column", "full_outer")
+    return both.select(
+        "column", *[F.coalesce(f"in_{s}", F.lit(False)).alias(f"in_{s}") for s in ("left", "right")],
+        *[F.coalesce(f"values_{s}", F.lit(0)).alias(f"values_{s}") for s in ("left", "right")],
+    )

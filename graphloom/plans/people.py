@@ -26,7 +26,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("pid"), F.col("source").alias("src"),
-        F.regexp_extract_all(F.lower("text"), F.lit(WORDS), F.lit(0)).alias("w"),
+        # through ``explode`` of one element the words are cut once, not again in the filter below
+        F.explode(F.array(F.regexp_extract_all(F.lower("text"), F.lit(WORDS), F.lit(0)))).alias("w"),
     )
     return words.where(F.size("w") >= 4).select(
         "pid", "src", F.col("w")[1].alias("fn"), F.col("w")[2].alias("city"), F.col("w")[3].alias("ln"),
