@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 import numpy as np
@@ -15,6 +16,7 @@ ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
 PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
 
 BEST = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("back", T.IntegerType())])
+_GRAM_TARGETS = "array<struct<grams: map<string, double>, norm: double>>"
 _TARGET_BYTES_PER_CALL = 32 * 1024 * 1024
 
 
@@ -55,14 +57,15 @@ def best_by_grams(text: Column, targets: Sequence[tuple[dict[str, float], float]
     """
     counts = gram_counts(character_grams(text))
     norm = gram_norm(counts)
+    # one literal that the optimizer folds, instead of a literal per gram
+    listed = F.from_json(F.lit(json.dumps([{"grams": g, "norm": n} for g, n in targets])), _GRAM_TARGETS)
 
-    def score(grams: dict[str, float], target_norm: float) -> Column:
-        lookup = F.create_map(*[F.lit(x) for kv in grams.items() for x in kv])
-        dot = F.aggregate(counts, F.lit(0.0), lambda s, x: s + x["n"] * F.coalesce(F.try_element_at(lookup, x["gram"]), F.lit(0.0)))
-        return F.coalesce(F.try_divide(dot, norm * F.lit(target_norm)), F.lit(0.0))
+    def score(target: Column, at: Column) -> Column:
+        dot = F.aggregate(counts, F.lit(0.0), lambda s, x: s + x["n"] * F.coalesce(F.try_element_at(target["grams"], x["gram"]), F.lit(0.0)))
+        # the larger ``back`` (the earlier target) wins a tie
+        return F.struct(F.coalesce(F.try_divide(dot, norm * target["norm"]), F.lit(0.0)).alias("score"), (-at).alias("back"))
 
-    # the larger ``back`` (the earlier target) wins a tie
-    return F.array_max(F.array(*[F.struct(score(g, n).alias("score"), F.lit(-i).alias("back")) for i, (g, n) in enumerate(targets)]))
+    return F.array_max(F.transform(listed, score))
 
 
 def _nearest_udf(targets: np.ndarray, first: int):

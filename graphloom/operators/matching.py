@@ -81,8 +81,8 @@ class NgramEncoder:
 
     def best(self, spark: SparkSession, text: Column, ontology: Mapping[str, str]) -> Column:
         counts = gram_counts(character_grams(F.col("description")))
-        rows = ontology_table(spark, ontology).orderBy("ord").select(counts.alias("c"), gram_norm(counts).alias("norm")).collect()
-        return best_by_grams(text, [({g["gram"]: g["n"] for g in r["c"]}, r["norm"]) for r in rows])
+        rows = ontology_table(spark, ontology).select("ord", counts.alias("c"), gram_norm(counts).alias("norm")).collect()
+        return best_by_grams(text, [({g["gram"]: g["n"] for g in r["c"]}, r["norm"]) for r in sorted(rows)])
 
 
 @dataclass(frozen=True)
@@ -113,6 +113,9 @@ def with_best_target(
 
 
 # --- resolvers -------------------------------------------------------------------------------------
+#
+# A resolver takes rows with ``source_column``, ``samples`` and the flag ``_ask`` and adds ``answer`` (JSON
+# text, null where not asked) and ``latency_ms``. Rows pass through, so the input is computed once.
 
 _ANSWER = T.StructType(
     [T.StructField("cible", T.StringType()), T.StructField("confiance", T.DoubleType()), T.StructField("justification", T.StringType())]
@@ -150,7 +153,7 @@ class EvidenceResolver:
         default_factory=lambda: {"schema:email": r"^[^@\s]+@[^@\s]+\.[a-z]+$", "ex:employeeId": r"^[A-Z]{1,4}-?\d+$"}
     )
 
-    def __call__(self, ambiguous: DataFrame, ontology: Mapping[str, str]) -> DataFrame:
+    def __call__(self, rows: DataFrame, ontology: Mapping[str, str]) -> DataFrame:
         name, samples = F.lower("source_column"), F.col("samples")
         answer = None
 
@@ -164,7 +167,8 @@ class EvidenceResolver:
             hit = F.forall(samples, _looks_like(pattern))
             answer = F.when(hit, say(uri, 0.7, "values")) if answer is None else answer.when(hit, say(uri, 0.7, "values"))
         none = say(UNMATCHED, 0.0, "no evidence")
-        return ambiguous.withColumns({"answer": none if answer is None else answer.otherwise(none), "latency_ms": F.lit(0.0)})
+        given = none if answer is None else answer.otherwise(none)
+        return rows.withColumns({"answer": F.when(F.col("_ask"), given), "latency_ms": F.lit(0.0)})
 
 
 @dataclass(frozen=True)
@@ -193,20 +197,24 @@ class CallResolver:
                 return None
         return None
 
-    def __call__(self, ambiguous: DataFrame, ontology: Mapping[str, str]) -> DataFrame:
+    def __call__(self, rows: DataFrame, ontology: Mapping[str, str]) -> DataFrame:
         listing = "\n".join(f"  - {u} : {d}" for u, d in ontology.items())
-        schema = T.StructType([*ambiguous.schema.fields, T.StructField("answer", T.StringType()), T.StructField("latency_ms", T.DoubleType())])
+        schema = T.StructType([*rows.schema.fields, T.StructField("answer", T.StringType()), T.StructField("latency_ms", T.DoubleType())])
 
         def resolve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 answers, times = [], []
-                for column, samples in zip(batch["source_column"], batch["samples"]):
+                for column, samples, ask in zip(batch["source_column"], batch["samples"], batch["_ask"]):
+                    if not ask:
+                        answers.append(None)
+                        times.append(0.0)
+                        continue
                     start = time.perf_counter()
                     answers.append(self._ask({"colonne": column, "exemples": json.dumps(list(samples), ensure_ascii=False), "ontologie": listing}))
                     times.append(round((time.perf_counter() - start) * 1000, 1))
                 yield batch.assign(answer=answers, latency_ms=times)
 
-        return ambiguous.mapInPandas(resolve, schema)
+        return rows.mapInPandas(resolve, schema)
 
 
 # --- input: one row per column ---------------------------------------------------------------------
@@ -217,16 +225,17 @@ def column_table(
 ) -> DataFrame:
     """One row per column (and ``by`` group) with its position and up to ``k`` sampled values.
 
-    A column without any value is there with an empty sample list.
+    A column without any value is there with an empty sample list. One scan: each task keeps ``k`` cells
+    of a column before the shuffle.
     """
-    samples = column_samples(df, columns, row_key, k, seed, by)
-    listed = samples.groupBy(*by, "column").agg(F.sort_array(F.collect_list(F.struct("rank", "value"))).alias("_v"))
-    positions = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(c).alias("source_column")) for i, c in enumerate(columns)])
-    groups = df.select(*by).distinct() if by else df.sparkSession.range(1).select()
-    grid = groups.select(*by, F.inline(positions))
-    found = listed.select(*by, F.col("column").alias("source_column"), F.transform("_v", lambda x: x["value"]).alias("samples"))
-    return grid.join(found, [*by, "source_column"], "left").withColumn(
-        "samples", F.coalesce("samples", F.array().cast("array<string>"))
+    picked = column_samples(df, columns, row_key, k, seed, by, keep_empty=True)
+    if not by:  # the columns of an empty table are columns too
+        empty = [F.struct(F.lit(c).alias("column"), F.lit(k + 1).alias("rank"), F.lit(None).cast("string").alias("value")) for c in columns]
+        picked = picked.unionByName(df.sparkSession.range(1).select(F.inline(F.array(*empty))))
+    values = F.sort_array(F.collect_list(F.when(F.col("value").isNotNull(), F.struct("rank", "value"))))
+    position = F.array_position(F.array(*[F.lit(c) for c in columns]), F.col("column")) - 1
+    return picked.groupBy(*by, "column").agg(values.alias("_v")).select(
+        *by, position.cast("int").alias("ord"), F.col("column").alias("source_column"), F.transform("_v", lambda x: x["value"]).alias("samples")
     )
 
 
@@ -259,31 +268,24 @@ def known_or_unmatched(uri: Column, ontology: Mapping[str, str]) -> Column:
     return F.when(uri.isin(list(ontology)), uri).otherwise(UNMATCHED)
 
 
-def _resolve(rows: DataFrame, keep: list[str], ontology, resolver, method: str, empty_text: str, fail_text: str, own_unmatched: bool) -> DataFrame:
-    """Resolver answers as results; columns without values are not sent to it."""
-    has_values = F.size("samples") > 0
-    empty = _result(
-        rows.where(~has_values), keep, target_uri=F.lit(UNMATCHED), confidence=F.lit(0.0),
-        method=F.lit(method if own_unmatched else UNMATCHED), justification=F.lit(empty_text), latency_ms=F.lit(0.0), calls=F.lit(0),
-    )
-    answered = resolver(rows.where(has_values), ontology).withColumn("_a", parse_answer(F.col("answer")))
+def _resolved(rows: DataFrame, ontology, resolver, wanted: Column) -> DataFrame:
+    """Rows with the checked answer ``_a`` and its target ``_uri``; only ``wanted`` rows with values are asked."""
+    asked = resolver(rows.withColumn("_ask", wanted & (F.size("samples") > 0)), ontology).withColumn("_a", parse_answer(F.col("answer")))
     uri = F.coalesce(known_or_unmatched(F.col("_a.cible"), ontology), F.lit(UNMATCHED))
-    found = uri != UNMATCHED
-    given = F.col("_a").isNotNull() if own_unmatched else found
-    resolved = _result(
-        answered, keep, target_uri=uri,
-        confidence=F.when(given, F.round("_a.confiance", 4)).otherwise(0.0),
-        method=F.lit(method) if own_unmatched else F.when(found, method).otherwise(UNMATCHED),
-        justification=F.when(given, F.col("_a.justification")).otherwise(fail_text),
-        latency_ms=F.col("latency_ms"), calls=F.lit(1),
-    )
-    return empty.unionByName(resolved)
+    return asked.withColumn("_uri", uri)
 
 
 def match_resolver_only(columns: DataFrame, ontology=ONTOLOGY, resolver=EvidenceResolver()) -> DataFrame:
     """Every column goes to the resolver, which may also answer that nothing fits."""
     keep = [c for c in columns.columns if c != "samples"]
-    return _resolve(columns, keep, ontology, resolver, RESOLVER_ONLY, "Colonne vide.", "Réponse invalide.", True)
+    rows = _resolved(columns, ontology, resolver, F.lit(True))
+    given = F.col("_a").isNotNull()
+    return _result(
+        rows, keep, target_uri=F.col("_uri"), confidence=F.when(given, F.round("_a.confiance", 4)).otherwise(0.0),
+        method=F.lit(RESOLVER_ONLY),
+        justification=F.when(~F.col("_ask"), "Colonne vide.").when(given, F.col("_a.justification")).otherwise("Réponse invalide."),
+        latency_ms=F.col("latency_ms"), calls=F.col("_ask").cast("int"),
+    )
 
 
 def match_hybrid(
@@ -294,15 +296,19 @@ def match_hybrid(
     ``pass_no`` and ``ord`` give the order of the result: accepted columns first, then the resolved ones.
     """
     keep = [c for c in columns.columns if c != "samples"]
-    accepted, ambiguous = split_by_threshold(with_best_target(columns, ontology, encoder), tau)
-    first = _result(
-        accepted, keep, target_uri=F.col("best_uri"), confidence=F.round("score", 4), method=F.lit(BY_ENCODER),
-        justification=F.format_string(f"Similarité cosinus = %.4f ≥ seuil τ = {tau}", F.col("score")),
-        latency_ms=F.lit(0.0), calls=F.lit(0),
+    accepted = F.col("score") >= tau
+    rows = _resolved(with_best_target(columns, ontology, encoder), ontology, resolver, ~accepted)
+    found = F.col("_uri") != UNMATCHED
+    return _result(
+        rows, keep,
+        target_uri=F.when(accepted, F.col("best_uri")).otherwise(F.col("_uri")),
+        confidence=F.when(accepted, F.round("score", 4)).when(found, F.round("_a.confiance", 4)).otherwise(0.0),
+        method=F.when(accepted, BY_ENCODER).when(found, BY_RESOLVER).otherwise(UNMATCHED),
+        justification=F.when(accepted, F.format_string(f"Similarité cosinus = %.4f ≥ seuil τ = {tau}", F.col("score")))
+        .when(found, F.col("_a.justification")).otherwise("Échec SBERT + LLM. Vérification manuelle requise."),
+        latency_ms=F.col("latency_ms"), calls=F.col("_ask").cast("int"),
+        pass_no=F.when(accepted, 1).otherwise(2),
     )
-    failed = "Échec SBERT + LLM. Vérification manuelle requise."
-    second = _resolve(ambiguous, keep, ontology, resolver, BY_RESOLVER, failed, failed, False)
-    return first.withColumn("pass_no", F.lit(1)).unionByName(second.withColumn("pass_no", F.lit(2)))
 
 
 # --- results ---------------------------------------------------------------------------------------

@@ -177,16 +177,20 @@ def histogram(df: DataFrame, columns: Sequence[str], bins: int = 10) -> DataFram
 
 
 def column_samples(
-    df: DataFrame, columns: Sequence[str], row_key: Sequence[str], k: int = 3, seed: int = 42, by: Sequence[str] = ()
+    df: DataFrame, columns: Sequence[str], row_key: Sequence[str], k: int = 3, seed: int = 42, by: Sequence[str] = (),
+    keep_empty: bool = False,
 ) -> DataFrame:
     """Up to ``k`` non-null values per column (and per ``by`` group), the same on every run.
 
     The order is a digest of seed, column, value and row key. Ranks above ``k`` are cut off in each task
-    before the shuffle, so a group never travels whole.
+    before the shuffle, so a group never travels whole. With ``keep_empty`` a column without values
+    is kept with null values.
     """
-    cells = long_values(df, columns, [*by, *row_key]).where("value is not null")
+    cells = long_values(df, columns, [*by, *row_key])
+    if not keep_empty:
+        cells = cells.where("value is not null")
     order = seeded_digest(seed, F.col("column"), F.col("value"), *[F.col(c) for c in row_key])
-    window = Window.partitionBy(*by, "column").orderBy("_o", "value")
+    window = Window.partitionBy(*by, "column").orderBy(F.col("value").isNull(), "_o", "value")
     return (
         cells.withColumn("_o", order).withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
         .select(*by, "column", "rank", "value")
