@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,7 +21,7 @@ _CELLS_PER_PASS = 4_000_000
 
 def byte_rows(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The bytes of all texts end to end, with the start and the length of each."""
-    arr = pa.compute.fill_null(texts, "").cast(pa.large_binary())
+    arr = pc.fill_null(texts, "").cast(pa.large_binary())
     _, offsets, data = arr.buffers()
     bounds = np.frombuffer(offsets, np.int64, len(arr) + 1, arr.offset * 8)
     flat = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(1, np.uint8)
@@ -34,6 +35,11 @@ def byte_matrix(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np
     return np.where(cols < lengths[:, None], flat[where], 0)
 
 
+def _boosted(jaro: np.ndarray, prefix: np.ndarray) -> np.ndarray:
+    """``jaro + prefix * weight * (1 - jaro)`` rounded once, so that a score on a threshold falls as in SQL."""
+    return ((prefix * PREFIX_WEIGHT).astype(np.longdouble) * (1.0 - jaro) + jaro).astype(np.float64)
+
+
 def jaro_winkler(a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray) -> np.ndarray:
     """Similarity of row i of ``a`` to row i of ``b`` (byte matrices with their lengths)."""
     n, width_b = b.shape
@@ -64,16 +70,19 @@ def jaro_winkler(a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray) -
     p = min(PREFIX_BYTES, k)
     same = (a[:, :p] == b[:, :p]) & (np.arange(p) < np.minimum(la, lb)[:, None])
     prefix = np.cumprod(same, axis=1).sum(1)
-    return np.where(jaro > BOOST_ABOVE, jaro + prefix * PREFIX_WEIGHT * (1.0 - jaro), jaro)
+    return np.where(jaro > BOOST_ABOVE, _boosted(jaro, prefix), jaro)
+
+
+Rows = tuple[np.ndarray, np.ndarray, np.ndarray]
+_WORD = 64
+_PAIRS_PER_PASS = 32_768
 
 
-def jaro_winkler_rows(
-    a: tuple[np.ndarray, np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray, np.ndarray]
-) -> np.ndarray:
-    """As ``jaro_winkler``, for ``byte_rows`` input; long texts go in smaller passes."""
+def _long_pairs(a: Rows, b: Rows, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """``jaro_winkler`` for texts too long for one machine word, in passes of bounded size."""
     (fa, sa, la), (fb, sb, lb) = a, b
-    out = np.zeros(len(la))
-    longest = np.maximum(la, lb)
+    out = np.zeros(len(i))
+    longest = np.maximum(la[i], lb[j])
     order = np.argsort(longest, kind="stable")
     at = 0
     while at < len(order):
@@ -82,17 +91,104 @@ def jaro_winkler_rows(
         while size > 1 and size * int(longest[order[at + size - 1]]) > _CELLS_PER_PASS:
             size = (size + 1) // 2
         pick = order[at : at + size]
-        out[pick] = jaro_winkler(
-            byte_matrix(fa, sa[pick], la[pick]), la[pick], byte_matrix(fb, sb[pick], lb[pick]), lb[pick]
-        )
+        x, y = i[pick], j[pick]
+        out[pick] = jaro_winkler(byte_matrix(fa, sa[x], la[x]), la[x], byte_matrix(fb, sb[y], lb[y]), lb[y])
         at += size
     return out
 
 
+def _windows(reach: int, width: int) -> np.ndarray:
+    """Bit masks of the positions within ``r`` of position ``k``, for every r and k."""
+    full = (1 << _WORD) - 1
+    return np.array(
+        [[((1 << min(k + r + 1, _WORD)) - 1) & ~((1 << max(k - r, 0)) - 1) & full for k in range(width)] for r in range(reach + 1)],
+        dtype=np.uint64,
+    )
+
+
+def pair_scores(a: Rows, b: Rows, i: np.ndarray, j: np.ndarray, floor: float = 0.0) -> np.ndarray:
+    """Similarity of text ``i[k]`` of ``a`` to text ``j[k]`` of ``b``; values below ``floor`` may come out lower.
+
+    The positions of every byte in a text of ``b`` are one machine word, so a step over the bytes of ``a``
+    is a few word operations for all pairs at once.
+    """
+    (fa, sa, la), (fb, sb, lb) = a, b
+    long = (la[i] > _WORD) | (lb[j] > _WORD)
+    out = np.zeros(len(i))
+    if long.any():
+        out[long] = _long_pairs(a, b, i[long], j[long])
+        if long.all():
+            return out
+    present = np.unique(fb)
+    none = len(present)  # stands for "no such byte in b" and for the space after a text
+    code = np.full(256, none, np.int64)
+    code[present] = np.arange(none)
+
+    def codes(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        short = np.minimum(lengths, _WORD)
+        where = np.arange(max(int(short.max(initial=0)), PREFIX_BYTES)) < short[:, None]
+        return np.ascontiguousarray(np.where(where, code[byte_matrix_to(flat, starts, short, where.shape[1])], none).T)
+
+    ca, cb = codes(fa, sa, la), codes(fb, sb, lb)
+    places = np.zeros((len(lb), none + 1), np.uint64)
+    rows = np.arange(len(lb))
+    for k in range(cb.shape[0]):
+        places[rows, cb[k]] |= np.uint64(1 << k)
+    places[:, none] = 0
+    places = places.ravel()
+    windows = _windows(_WORD // 2, ca.shape[0])
+    pending = np.nonzero(~long)[0]
+    pending = pending[np.argsort(la[i[pending]], kind="stable")]
+    for at in range(0, len(pending), _PAIRS_PER_PASS):
+        pick = pending[at : at + _PAIRS_PER_PASS]
+        out[pick] = _word_scores(ca, la, cb, lb, places, none, windows, i[pick], j[pick], floor)
+    return out
+
+
+def byte_matrix_to(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, width: int) -> np.ndarray:
+    where = np.minimum(starts[:, None] + np.arange(width), len(flat) - 1)
+    return flat[where]
+
+
+def _word_scores(ca, la, cb, lb, places, none, windows, i, j, floor) -> np.ndarray:
+    n1, n2 = la[i], lb[j]
+    reach = np.maximum(np.maximum(n1, n2) // 2 - 1, 0)
+    base = j * (none + 1)
+    taken, used = np.zeros(len(i), np.uint64), np.zeros(len(i), np.uint64)
+    for k in range(int(n1.max(initial=0))):
+        free = places[base + ca[k][i]] & windows[reach, k] & ~taken
+        taken |= free & (~free + np.uint64(1))
+        used |= (free != 0).astype(np.uint64) << np.uint64(k)
+    m = np.bitwise_count(used).astype(np.int64)
+    alike = [(ca[k][i] == cb[k][j]) & (k < n1) & (k < n2) for k in range(PREFIX_BYTES)]
+    prefix = np.cumprod(alike, axis=0).sum(0)
+
+    def score(pick: np.ndarray, swaps: np.ndarray | int) -> np.ndarray:
+        x, y, z = m[pick], n1[pick], n2[pick]
+        jaro = (x / y + x / z + (x - swaps) / x) / 3.0
+        return np.where(jaro > BOOST_ABOVE, _boosted(jaro, prefix[pick]), jaro)
+
+    out = np.zeros(len(i))
+    some = np.nonzero(m > 0)[0]
+    out[some] = score(some, 0)
+    # order matters only where the best case reaches the floor
+    some = some[out[some] >= floor]
+    ua, ub, x, y = used[some], taken[some], i[some], j[some]
+    unlike = np.zeros(len(some), np.int64)
+    for _ in range(int(m[some].max(initial=0))):
+        one = np.uint64(1)
+        p, q = ((np.bitwise_count((w & (~w + one)) - one) & 63).astype(np.int64) for w in (ua, ub))
+        unlike += (ca[p % ca.shape[0], x] != cb[q % cb.shape[0], y]) & (ua != 0)
+        ua, ub = ua & (ua - one), ub & (ub - one)
+    out[some] = score(some, unlike // 2)
+    return out
+
+
 @F.arrow_udf(T.DoubleType())
 def _jaro_winkler_arrow(left: pa.Array, right: pa.Array) -> pa.Array:
-    nulls = pa.compute.or_(left.is_null(), right.is_null()).to_numpy(zero_copy_only=False)
-    return pa.array(jaro_winkler_rows(byte_rows(left), byte_rows(right)), mask=nulls)
+    nulls = pc.or_(left.is_null(), right.is_null()).to_numpy(zero_copy_only=False)
+    each = np.arange(len(nulls))
+    return pa.array(pair_scores(byte_rows(left), byte_rows(right), each, each), mask=nulls)
 
 
 def jaro_winkler_similarity(left: Column, right: Column) -> Column:

@@ -253,7 +253,7 @@ def _level_counts(names_l: DataFrame, names_r: DataFrame, block: list[str], conf
     summary = _summary(names_l, names_r, block)
     similar = similar_names(
         names_l, names_r, block, config.thresholds, config.direct_pairs, config.cell_rows,
-        any_large=summary["widest"] > config.direct_pairs,
+        block_range=summary["block_range"],
     )
     return _counts_with_rest(similar, summary["pairs"], config)
 
@@ -265,12 +265,12 @@ def _counts_with_rest(similar: DataFrame, pairs: float, config: LinkageConfig) -
     return counts
 
 
-def _summary(names_l: DataFrame, names_r: DataFrame, block: list[str]) -> dict[str, float]:
+def _summary(names_l: DataFrame, names_r: DataFrame, block: list[str]) -> dict:
     row = name_blocks(names_l, names_r, block).agg(
         F.coalesce(F.sum(_wide("rows_l") * _wide("rows_r")), F.lit(0)).alias("pairs"),
-        F.coalesce(F.max(_wide("n_l") * _wide("n_r")), F.lit(0)).alias("widest"),
+        *[F.coalesce(f(_wide("n_l") * _wide("n_r")), F.lit(0)).alias(n) for n, f in (("low", F.min), ("high", F.max))],
     ).first()
-    return {"pairs": float(row["pairs"]), "widest": float(row["widest"])}
+    return {"pairs": float(row["pairs"]), "block_range": (float(row["low"]), float(row["high"]))}
 
 
 @dataclass
@@ -310,7 +310,7 @@ class Linkage:
         summary = _summary(names_l, names_r, [DATE])
         similar = similar_names(
             names_l, names_r, [DATE], config.thresholds, config.direct_pairs, config.cell_rows,
-            any_large=summary["widest"] > config.direct_pairs,
+            block_range=summary["block_range"],
         ).persist()
         counts = _counts_with_rest(similar, summary["pairs"], config)
         u = {"name": cls._name_u(left, right, n_l, n_r, config), "date": _equal_u(summary["pairs"], n_l, n_r)}
@@ -322,8 +322,10 @@ class Linkage:
     def _name_u(left: DataFrame, right: DataFrame, n_l: int, n_r: int, config: LinkageConfig) -> dict[int, float]:
         if config.max_pairs is None:
             one = F.lit(0).alias("_all")
-            whole = [distinct_names(df.select("*", one), ["_all"], NAME) for df in (left, right)]
+            whole = [distinct_names(df.select("*", one), ["_all"], NAME).persist() for df in (left, right)]
             counts = _level_counts(*whole, ["_all"], config)
+            for df in whole:
+                df.unpersist()
         else:
             counts = sampled_level_counts(left, right, n_l, n_r, config)
         total = sum(counts.values())

@@ -38,16 +38,20 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequen
     that is ordered.
     """
     columns, probabilities = list(columns), list(probabilities)
-    asked = [(c, q) for c in columns for q in probabilities]
     value = {c: F.col(c).cast("double") for c in columns}
     margin, brackets, ranks, below = 3.0 / accuracy, {}, {}, {}
-    open_ends = asked
+    open_ends = [(c, q) for c in columns for q in probabilities]
     while open_ends:
-        ends = [F.percentile_approx(value[c], F.array(F.lit(max(q - margin, 0.0)), F.lit(min(q + margin, 1.0))), F.lit(accuracy)) for c, q in open_ends]
-        found = df.agg(*[e.alias(f"e{i}") for i, e in enumerate(ends)], *[F.count(value[c]).alias(f"n{c}") for c in columns]).first()
-        open_ends = [a for i, a in enumerate(open_ends) if found[f"e{i}"] is not None and brackets.update({a: tuple(found[f"e{i}"])}) is None]
+        # one sketch per column answers both ends of all its brackets
+        ends = {c: [p for x, q in open_ends if x == c for p in (max(q - margin, 0.0), min(q + margin, 1.0))] for c in columns}
+        sketches = [F.percentile_approx(value[c], F.array(*map(F.lit, ends[c])), F.lit(accuracy)).alias(f"e{c}") for c in columns if ends[c]]
+        found = df.agg(*sketches, *[F.count(value[c]).alias(f"n{c}") for c in columns]).first()
+        open_ends = [(c, q) for c, q in open_ends if found[f"n{c}"]]
         if not open_ends:
             break
+        for c in columns:
+            own = [q for x, q in open_ends if x == c]
+            brackets |= {(c, q): tuple(found[f"e{c}"][2 * i : 2 * i + 2]) for i, q in enumerate(own)}
         counts = df.agg(
             *[F.count_if(value[c] < brackets[c, q][0]).alias(f"b{i}") for i, (c, q) in enumerate(open_ends)],
             *[F.count_if(value[c] <= brackets[c, q][1]).alias(f"t{i}") for i, (c, q) in enumerate(open_ends)],
@@ -88,7 +92,7 @@ def numeric_profile(
             "count": F.count(c), "missing": F.count_if(F.col(name).isNull()), "min": F.min(c), "max": F.max(c),
             "mean": F.avg(c), "std": F.stddev_samp(c), "variance": F.var_samp(c), "sum": F.sum(c),
             "zeros": F.count_if(c == 0), "negatives": F.count_if(c < 0), "_g1": F.skewness(c), "_g2": F.kurtosis(c),
-            "_q": quantiles,
+            **({} if exact else {"_q": quantiles}),
         }
 
     fields = measures(columns[0])
@@ -98,14 +102,13 @@ def numeric_profile(
     kurt = F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.col("_g2") + 6))
     table = _rows_per_column(aggregated, columns, fields).select(
         "*", skew.alias("skewness"), kurt.alias("kurtosis"), (F.col("max") - F.col("min")).alias("range"),
-        *[F.try_element_at("_q", F.lit(i + 1)).alias(q) for i, q in enumerate(QUANTILES)],
-    ).drop("_g1", "_g2", "_q")
+    ).drop("_g1", "_g2")
     if not exact:
-        return table
+        return table.select("*", *[F.try_element_at("_q", F.lit(i + 1)).alias(q) for i, q in enumerate(QUANTILES)]).drop("_q")
     wide = exact_quantiles(df, columns, list(QUANTILES.values()), accuracy).groupBy("column").agg(
         *[F.max(F.when(F.col("q") == q, F.col("value"))).alias(name) for name, q in QUANTILES.items()]
     )
-    return table.drop(*QUANTILES).join(wide, "column", "left")
+    return table.join(wide, "column", "left")
 
 
 def long_values(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:

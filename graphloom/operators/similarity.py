@@ -20,15 +20,16 @@ from pyspark.sql import types as T
 from graphloom.functions.names import (
     PREFIX_BYTES,
     byte_rows,
-    jaro_winkler_rows,
     jaro_winkler_similarity,
     length_can_reach,
     lowest_jaro,
+    pair_scores,
 )
-from graphloom.plans.skew import grid, salted_lookup
+from graphloom.plans.skew import grid, pieces, salted_lookup
 
 DIRECT_PAIRS = 50_000
-CELL_ROWS = 4_096
+CELL_ROWS = 2_048
+MAX_CELL_PARTITIONS = 20_000
 
 _CLASSES, _DEPTH, _STRIP = 32, 4, 512
 
@@ -77,7 +78,7 @@ def _byte_profile(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray):
 def _first_bytes(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     cols = np.arange(PREFIX_BYTES)
     at = np.minimum(starts[:, None] + cols, len(flat) - 1)
-    return np.where(cols < lengths[:, None], flat[at].astype(np.int16), -1)
+    return np.ascontiguousarray(np.where(cols < lengths[:, None], flat[at].astype(np.int16), -1).T)
 
 
 def cell_pairs(left: pa.Array, right: pa.Array, lowest: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -88,22 +89,24 @@ def cell_pairs(left: pa.Array, right: pa.Array, lowest: float) -> tuple[np.ndarr
     flags_b, over_b = _byte_profile(*b)
     head_a, head_b = _first_bytes(*a), _first_bytes(*b)
     # m shared bytes give Jaro at most (m/n1 + m/n2 + 1) / 3
-    need = np.array([3.0 * lowest_jaro(lowest, k) - 1.0 for k in range(PREFIX_BYTES + 1)]) - 1e-6
-    inv_b = 1.0 / np.maximum(lb, 1)
+    need = np.array([3.0 * lowest_jaro(lowest, k) - 1.0 for k in range(PREFIX_BYTES + 1)]) - 1e-4
+    inv_b = (1.0 / np.maximum(lb, 1)).astype(np.float32)
     found = []
     for lo in range(0, len(la), _STRIP):
         s = slice(lo, lo + _STRIP)
         shared = flags_a[s] @ flags_b.T
         if over_a[s].any() and over_b.any():
             shared += np.minimum(over_a[s, None], over_b)
-        inv_a = 1.0 / np.maximum(la[s], 1)
+        inv_a = (1.0 / np.maximum(la[s], 1)).astype(np.float32)
         bound = shared * (inv_a[:, None] + inv_b)
-        i, j = np.nonzero(bound >= need.min())
-        alike = (head_a[i + lo] == head_b[j]) & (head_b[j] >= 0)
-        prefix = np.cumprod(alike, axis=1).sum(1)
+        i, j = np.divmod(np.flatnonzero(bound >= need.min()), len(lb))
+        alike, prefix = True, np.zeros(len(i), np.int64)
+        for k in range(PREFIX_BYTES):
+            alike = alike & (head_a[k][i + lo] == head_b[k][j]) & (head_b[k][j] >= 0)
+            prefix += alike
         keep = bound[i, j] >= need[prefix]
         i, j = i[keep] + lo, j[keep]
-        score = jaro_winkler_rows((a[0], a[1][i], la[i]), (b[0], b[1][j], lb[j]))
+        score = pair_scores(a, b, i, j, lowest)
         keep = score >= lowest
         found.append((i[keep], j[keep], score[keep]))
     blank = [(np.array([x]), np.array([y]), np.ones(1)) for x in np.nonzero(la == 0)[0] for y in np.nonzero(lb == 0)[0]]
@@ -113,7 +116,12 @@ def cell_pairs(left: pa.Array, right: pa.Array, lowest: float) -> tuple[np.ndarr
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def _similar_in_cells(left: DataFrame, right: DataFrame, block: Sequence[str], lowest: float) -> DataFrame:
+def _cell_count(sizes: DataFrame, rows: int) -> int:
+    cells = (pieces("n_l", rows) * pieces("n_r", rows)).cast("decimal(38,0)")
+    return int(sizes.agg(F.coalesce(F.sum(cells), F.lit(0))).first()[0])
+
+
+def _similar_in_cells(left: DataFrame, right: DataFrame, block: Sequence[str], lowest: float, partitions: int) -> DataFrame:
     fields = [f for f in left.schema.fields if f.name in block]
     schema = T.StructType(
         [
@@ -136,6 +144,8 @@ def _similar_in_cells(left: DataFrame, right: DataFrame, block: Sequence[str], l
         return pa.table({**out, "score": pa.array(score, pa.float64())})
 
     keys = [*block, "_i", "_j"]
+    # A cell is few bytes and much work: a fixed partition count keeps adaptive execution from merging cells.
+    left, right = (df.repartition(partitions, *keys) for df in (left, right))
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(score_cell, schema)
 
 
@@ -146,35 +156,40 @@ def similar_names(
     thresholds: Sequence[float],
     direct_pairs: int = DIRECT_PAIRS,
     cell_rows: int = CELL_ROWS,
-    any_large: bool | None = None,
+    block_range: tuple[float, float] | None = None,
 ) -> DataFrame:
     """Pairs of distinct names of one block at level 1 or higher.
 
-    ``left`` and ``right`` come from ``distinct_names`` without null names. ``any_large`` tells whether
-    some block exceeds ``direct_pairs``; when unknown it is looked up with one small job.
+    ``left`` and ``right`` come from ``distinct_names`` without null names. ``block_range`` is the
+    smallest and the largest pair count of a block; when unknown it is looked up with one small job.
+    It decides which of the two ways the plan needs at all.
     """
     block = list(block)
     thresholds = sorted(thresholds, reverse=True)
     lowest = thresholds[-1]
     sizes = name_blocks(left, right, block)
-    large = sizes.where(F.col("n_l") * F.col("n_r") > direct_pairs)
-    if any_large is None:
-        any_large = not large.isEmpty()
-
-    small_l, small_r = left, right
-    if any_large:
-        flag = large.select(*block, F.lit(True).alias("_large"))
-        small_l, small_r = (
-            salted_lookup(df, flag, block).where(F.col("_large").isNull()).drop("_large") for df in (left, right)
+    product = F.col("n_l").cast("decimal(19,0)") * F.col("n_r").cast("decimal(19,0)")
+    if block_range is None:
+        low, high = sizes.agg(F.min(product), F.max(product)).first()
+        block_range = (float(low or 0), float(high or 0))
+    parts = []
+    large = sizes.where(product > direct_pairs)
+    if block_range[0] <= direct_pairs:
+        small_l, small_r = left, right
+        if block_range[1] > direct_pairs:
+            flag = large.select(*block, F.lit(True).alias("_large"))
+            small_l, small_r = (
+                salted_lookup(df, flag, block).where(F.col("_large").isNull()).drop("_large") for df in (left, right)
+            )
+        paired = small_l.select(*block, F.col("name").alias("name_l"), F.col("n").alias("n_l")).join(
+            small_r.select(*block, F.col("name").alias("name_r"), F.col("n").alias("n_r")), block
         )
-    paired = small_l.select(*block, F.col("name").alias("name_l"), F.col("n").alias("n_l")).join(
-        small_r.select(*block, F.col("name").alias("name_r"), F.col("n").alias("n_r")), block
-    )
-    scored = paired.where(length_can_reach(F.col("name_l"), F.col("name_r"), lowest)).withColumn(
-        "score", jaro_winkler_similarity(F.col("name_l"), F.col("name_r"))
-    )
-    if any_large:
+        possible = paired.where(length_can_reach(F.col("name_l"), F.col("name_r"), lowest))
+        parts.append(possible.withColumn("score", jaro_winkler_similarity(F.col("name_l"), F.col("name_r"))))
+    if block_range[1] > direct_pairs:
         cells = grid(left, right, block, large, cell_rows)
-        scored = scored.unionByName(_similar_in_cells(*cells, block, lowest))
+        partitions = min(2 * _cell_count(large, cell_rows) + 1, MAX_CELL_PARTITIONS)
+        parts.append(_similar_in_cells(*cells, block, lowest, partitions))
+    scored = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     same = F.col("name_l") == F.col("name_r")
     return scored.withColumn("level", level_of(same, F.col("score"), thresholds)).where("level > 0")
