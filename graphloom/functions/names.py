@@ -191,8 +191,12 @@ def _jaro_winkler_arrow(left: pa.Array, right: pa.Array) -> pa.Array:
     return pa.array(pair_scores(byte_rows(left), byte_rows(right), each, each), mask=nulls)
 
 
+# Declared nondeterministic so that a filter on the score is not pushed below it with a second evaluation.
+_scored_once = _jaro_winkler_arrow.asNondeterministic()
+
+
 def jaro_winkler_similarity(left: Column, right: Column) -> Column:
-    return _jaro_winkler_arrow(left, right)
+    return _scored_once(left, right)
 
 
 def lowest_jaro(threshold: float, prefix: int) -> float:

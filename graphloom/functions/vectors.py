@@ -32,7 +32,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 def character_grams(text: Column, size: int = 3) -> Column:
     """Character n-grams of a text in lower case without accents, words set off by spaces."""
-    plain = F.regexp_replace(F.translate(F.lower(text), ACCENTED, PLAIN), "[^a-z0-9]", " ")
+    plain = F.regexp_replace(F.translate(F.lower(text), ACCENTED, PLAIN), "[^a-z0-9]+", " ")
     padded = F.concat(F.lit(" "), plain, F.lit(" "))
     starts = F.sequence(F.lit(1), F.greatest(F.length(padded) - (size - 1), F.lit(1)))
     return F.transform(starts, lambda i: F.substring(padded, i, F.lit(size)))
@@ -85,7 +85,8 @@ def _nearest_udf(targets: np.ndarray, first: int):
             back[~mask] = -(first + at).astype(np.int32)
         return pa.StructArray.from_arrays([pa.array(score), pa.array(back)], ["score", "back"])
 
-    return nearest
+    # a filter on the score must not repeat the product below the projection
+    return nearest.asNondeterministic()
 
 
 def best_by_vectors(vector: Column, targets: Sequence[Sequence[float]]) -> Column:

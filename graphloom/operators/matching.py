@@ -118,7 +118,7 @@ def with_best_target(
 # text, null where not asked) and ``latency_ms``. Rows pass through, so the input is computed once.
 
 _ANSWER = T.StructType(
-    [T.StructField("cible", T.StringType()), T.StructField("confiance", T.DoubleType()), T.StructField("justification", T.StringType())]
+    [T.StructField("cible", T.StringType()), T.StructField("confiance", T.StringType()), T.StructField("justification", T.StringType())]
 )
 
 
@@ -130,11 +130,12 @@ def parse_answer(answer: Column) -> Column:
     whole = F.from_json(answer, _ANSWER)
     first = F.try_element_at(F.from_json(answer, T.ArrayType(_ANSWER)), F.lit(1))
     chosen = F.when(F.ltrim(answer).startswith("["), first).otherwise(whole)
-    complete = chosen["cible"].isNotNull() & chosen["confiance"].isNotNull() & chosen["justification"].isNotNull()
+    confidence = chosen["confiance"].try_cast("double")
+    complete = chosen["cible"].isNotNull() & confidence.isNotNull() & chosen["justification"].isNotNull()
     return F.when(
         complete,
         F.struct(
-            F.trim(chosen["cible"]).alias("cible"), chosen["confiance"].alias("confiance"),
+            F.trim(chosen["cible"]).alias("cible"), confidence.alias("confiance"),
             F.trim(chosen["justification"]).alias("justification"),
         ),
     )

@@ -214,7 +214,7 @@ lake AS (SELECT c.src, c.ord, c.source_column, coalesce(r.samples, []) AS sample
   ON c.src = r.src AND c.source_column = r.source_column),
 onto AS (SELECT * FROM (VALUES {_ONTOLOGY_SQL}) o(ord, uri, description)),
 texts AS (SELECT DISTINCT 'c' AS kind, source_column AS id, source_column AS txt FROM lake UNION ALL SELECT 'o', uri, description FROM onto),
-padded AS (SELECT kind, id, ' ' || regexp_replace(strip_accents(lower(txt)), '[^a-z0-9]', ' ', 'g') || ' ' AS t FROM texts),
+padded AS (SELECT kind, id, ' ' || regexp_replace(strip_accents(lower(txt)), '[^a-z0-9]+', ' ', 'g') || ' ' AS t FROM texts),
 grams AS (SELECT kind, id, gram, count(*) AS n FROM (SELECT kind, id, unnest([t[i:i + 2] FOR i IN range(1, length(t) - 1)]) AS gram FROM padded) GROUP BY ALL),
 norms AS (SELECT kind, id, sqrt(sum(n * n)) AS norm FROM grams GROUP BY ALL),
 dots AS (SELECT c.id AS source_column, o.id AS uri, sum(c.n * o.n) AS dot FROM grams c JOIN grams o ON c.gram = o.gram AND c.kind = 'c' AND o.kind = 'o' GROUP BY ALL),
