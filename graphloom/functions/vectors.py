@@ -33,7 +33,7 @@ def cosine(a: Column, b: Column) -> Column:
 def character_grams(text: Column, size: int = 3) -> Column:
     """Character n-grams of a text in lower case without accents, words set off by spaces."""
     plain = F.regexp_replace(F.translate(F.lower(text), ACCENTED, PLAIN), "[^a-z0-9]+", " ")
-    padded = F.concat(F.lit(" "), plain, F.lit(" "))
+    padded = F.concat(F.lit(" "), F.trim(plain), F.lit(" "))
     starts = F.sequence(F.lit(1), F.greatest(F.length(padded) - (size - 1), F.lit(1)))
     return F.transform(starts, lambda i: F.substring(padded, i, F.lit(size)))
 

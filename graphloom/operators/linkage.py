@@ -7,6 +7,7 @@ equality comparison on the block column. What the driver sees is one row per com
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -34,6 +35,7 @@ from graphloom.operators.similarity import (
     similar_names,
 )
 from graphloom.plans.skew import grid, pieces, piece_of, salted_lookup
+from graphloom.sources.ntriples import write_ntriples
 from graphloom.sources.tables import require_columns
 
 ID, NAME, DATE = "unique_id", "nom_comparaison", "date_comparaison"
@@ -443,6 +445,24 @@ def link_triples(links: DataFrame, subject: str = LINK_SUBJECT, obj: str = LINK_
     )
 
 
+def resolve(
+    left: DataFrame, right: DataFrame, path: str, config: LinkageConfig = LinkageConfig(), prior=None,
+    subject: str = LINK_SUBJECT, obj: str = LINK_OBJECT,
+) -> int:
+    """Link two standardised tables, write the links as N-Triples and return their number.
+
+    Without links the output is written too, empty, so that no older file stays behind.
+    """
+    linkage = Linkage.fit(left, right, config, prior)
+    try:
+        written = write_ntriples(link_triples(linkage.links(), subject, obj), path)
+    finally:
+        linkage.release()
+    if not written:
+        warnings.warn("no link reaches the threshold: lower it or check the blocking column", stacklevel=2)
+    return written
+
+
 def score_links(links: DataFrame, truth: DataFrame) -> DataFrame:
     """Pair-level true/false positives and misses of ``links`` against ``truth`` (both ``id_l, id_r``)."""
     found = links.select("id_l", "id_r").distinct().withColumn("_f", F.lit(1))

@@ -8,11 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from graphloom.functions.text import ratio
 from graphloom.functions.vectors import best_by_vectors, cosine
-from graphloom.operators.evaluate import compute_metrics, confusion, judge, rates
+from graphloom.operators.evaluate import compute_metrics, judge
 from graphloom.operators.matching import (
-    BY_ENCODER,
     NGRAM_TAU,
     ONTOLOGY,
     column_table,
@@ -28,6 +26,7 @@ from graphloom.operators.matching import (
     method_counts,
     parse_answer,
     results_envelope,
+    run_variants,
     split_by_threshold,
     with_best_target,
 )
@@ -83,15 +82,7 @@ def _report_rows(spark, d):
 
 
 def variants(spark, d):
-    """Scores of the three variants over one shared input, read once."""
-    columns, gold = lake(spark, d).persist(), gold_table(spark)
-    runs = [("A_SBERT_Only", match_forced(columns)), ("B_LLM_Only", match_resolver_only(columns)), ("C_Hybrid", match_hybrid(columns))]
-    judged = None
-    for i, (name, results) in enumerate(runs):
-        part = judge(results, gold).select("verdict", "calls", "latency_ms").withColumns({"ord": F.lit(i), "variant": F.lit(name)})
-        judged = part if judged is None else judged.unionByName(part)
-    calls = judged.groupBy("ord").agg(F.sum("calls").alias("llm_calls"), F.coalesce(F.avg(F.when(F.col("calls") > 0, F.col("latency_ms"))), F.lit(0.0)).alias("avg_latency_ms"))
-    return rates(confusion(judged, ["ord", "variant"])).join(calls, "ord")
+    return run_variants(lake(spark, d), gold_table(spark))
 
 
 def _mapping_triples(spark, d):
@@ -136,7 +127,7 @@ def _vector_metrics(spark, d):
 def _vector_pairs(spark, d):
     """Cosine of each vector to the first vector of its own label."""
     e = table(spark, d, "embeddings")
-    paired = e.join(F.broadcast(label_targets(spark, d)), "label")
+    paired = e.join(label_targets(spark, d), "label")
     return paired.select("vec_id", F.round(cosine(F.col("embedding"), F.col("target")), 6).alias("cosine"))
 
 
@@ -214,7 +205,7 @@ lake AS (SELECT c.src, c.ord, c.source_column, coalesce(r.samples, []) AS sample
   ON c.src = r.src AND c.source_column = r.source_column),
 onto AS (SELECT * FROM (VALUES {_ONTOLOGY_SQL}) o(ord, uri, description)),
 texts AS (SELECT DISTINCT 'c' AS kind, source_column AS id, source_column AS txt FROM lake UNION ALL SELECT 'o', uri, description FROM onto),
-padded AS (SELECT kind, id, ' ' || regexp_replace(strip_accents(lower(txt)), '[^a-z0-9]+', ' ', 'g') || ' ' AS t FROM texts),
+padded AS (SELECT kind, id, ' ' || trim(regexp_replace(strip_accents(lower(txt)), '[^a-z0-9]+', ' ', 'g')) || ' ' AS t FROM texts),
 grams AS (SELECT kind, id, gram, count(*) AS n FROM (SELECT kind, id, unnest([t[i:i + 2] FOR i IN range(1, length(t) - 1)]) AS gram FROM padded) GROUP BY ALL),
 norms AS (SELECT kind, id, sqrt(sum(n * n)) AS norm FROM grams GROUP BY ALL),
 dots AS (SELECT c.id AS source_column, o.id AS uri, sum(c.n * o.n) AS dot FROM grams c JOIN grams o ON c.gram = o.gram AND c.kind = 'c' AND o.kind = 'o' GROUP BY ALL),

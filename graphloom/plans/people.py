@@ -24,6 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One person per text with four words or more.
+
+    The queries below read the pool several times; its few short columns are kept (memory, then disk) so
+    that the texts are read and cut once.
+    """
     words = table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("pid"), F.col("source").alias("src"),
         # through ``explode`` of one element the words are cut once, not again in the filter below
@@ -32,7 +37,7 @@ def pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.where(F.size("w") >= 4).select(
         "pid", "src", F.col("w")[1].alias("fn"), F.col("w")[2].alias("city"), F.col("w")[3].alias("ln"),
         F.date_add(F.lit("1960-01-01").cast("date"), (F.col("pid") * 7919 % 400).cast("int")).alias("bd"),
-    )
+    ).persist()
 
 
 def _pick(values: list[str], index):

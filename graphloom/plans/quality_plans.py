@@ -46,7 +46,7 @@ def _transactions(spark, d):
         line.select(F.col("l_orderkey").alias("o_orderkey"), "l_quantity", "l_extendedprice", "l_returnflag")
         .join(order.select("o_orderkey", F.col("o_custkey").alias("c_custkey")), "o_orderkey")
         .join(customer.select("c_custkey", F.col("c_nationkey").alias("n_nationkey")), "c_custkey", "left")
-        .join(F.broadcast(nation.select("n_nationkey", "n_name")), "n_nationkey", "left")
+        .join(nation.select("n_nationkey", "n_name"), "n_nationkey", "left")
         .select(
             F.when(F.col("o_orderkey") % 7 != 0, F.col("c_custkey").cast("double")).alias("customer_id"),
             # returned lines count against the customer; cents as whole numbers keep the sum exact

@@ -119,3 +119,8 @@ def convert_table(spark: SparkSession, source: str, target: str, sep: str = ",",
     The target is rewritten by default; ``reuse`` keeps one that is already there.
     """
     write_csv(strip_headers(load_source(spark, source)), target, sep, mode="ignore" if reuse else "overwrite")
+
+
+def write_documents(documents: DataFrame, path: str, column: str = "document", mode: str = "overwrite") -> None:
+    """JSON documents (results, comparison reports), one per line."""
+    documents.select(column).write.mode(mode).text(path)
