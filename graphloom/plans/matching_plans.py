@@ -279,6 +279,10 @@ ORACLE = {
       FROM judged j JOIN hybrid h USING (src, source_column) WHERE vo = 2""",
     "variant_scores": _LAKE_SQL + _VARIANTS,
     "variant_comparison": _LAKE_SQL + _COMPARED,
+    "variant_report": _LAKE_SQL + f""", v AS ({_VARIANTS}), c AS ({_COMPARED})
+      SELECT to_json({{'summary': {{{", ".join(f"'{n}': (SELECT {{'precision': precision, 'recall': recall, 'f1': f1, 'llm_calls': llm_calls, 'avg_latency_ms': 0::DOUBLE}} FROM v WHERE ord = {i})" for i, n in enumerate(["A_SBERT_Only", "B_LLM_Only", "C_Hybrid"]))}}},
+      'finops_analysis': {{'llm_calls_sbert_only': llm_calls_sbert_only, 'llm_calls_llm_only': llm_calls_llm_only, 'llm_calls_hybrid': llm_calls_hybrid, 'reduction_hybrid_vs_llm_only_pct': reduction_hybrid_vs_llm_only_pct::DOUBLE}},
+      'quality_analysis': {{'f1_gain_hybrid_vs_sbert_pct': f1_gain_hybrid_vs_sbert_pct, 'f1_delta_hybrid_vs_llm_pct': f1_delta_hybrid_vs_llm_pct, 'best_f1_variant': best_f1_variant}}}})::VARCHAR AS document FROM c""",
     "mapping_from_matches": _LAKE_SQL + f"""SELECT h.src AS mapping, h.src AS source, 'http://kg.projet.fr/ontology#' || h.src || '_$(' || i.id || ')' AS subject_template,
       target_uri AS predicate, '$(' || source_column || ')' AS object_template, 'literal' AS term_type, {_DT}
       FROM hybrid h JOIN (SELECT src, arg_max(source_column, confidence * 1000 - ord) AS id FROM hybrid WHERE target_uri = 'ex:employeeId' GROUP BY src) i USING (src)
