@@ -84,6 +84,8 @@ def numeric_profile(
     quantiles come from the sketch of the same scan.
     """
     columns = list(columns or numeric_columns(df))
+    if not columns:
+        raise ValueError("the table has no numeric column to profile")
 
     def measures(name: str) -> dict[str, Column]:
         c = F.col(name).cast("double")

@@ -42,6 +42,11 @@ def test_numeric_profile_of_odd_columns(spark, table):
     assert [tuple(r) for r in P.histogram(df, ["one"], 3).collect()] == [("one", 0, 4.0, 5.0, 6)]
 
 
+def test_numeric_profile_needs_a_number(table):
+    with pytest.raises(ValueError, match="no numeric"):
+        P.numeric_profile(table.select("t", "e"))
+
+
 @pytest.mark.parametrize("accuracy", [10, 1000])
 def test_quantiles_are_exact_with_a_coarse_sketch(spark, accuracy):
     """Half of the values are one and the same; the sketch alone would be far off."""
