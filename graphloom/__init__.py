@@ -1,4 +1,8 @@
-"""graphloom: tables of differing schemas in, a linked and checked knowledge graph out.
+"""Data integration on Spark: profiles, schema matching, record linkage and knowledge-graph triples."""
 
-Every operator takes DataFrames and returns DataFrames. See README.md for the map of modules.
-"""
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in tasks travel with their code, so workers need no copy of the package on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
