@@ -3,7 +3,8 @@
 All n-grams stand in one global order: those that many documents hold come last, by level of frequency, the
 others by hash. Two sets at or above the threshold share an n-gram among the first few of each (the prefix),
 so documents that share a prefix n-gram form a *canopy* around its smallest holder, and every pair that can
-link meets in a canopy. A canopy is laid out in cells of bounded size, and the global order is cut into
+link meets in a canopy. A first fragment of the n-grams bounds all overlaps in a canopy from above, and members that
+cannot link with any other leave it. What stays is laid out in cells of bounded size, and the global order is cut into
 fragments: each (cell, fragment) counts the partial overlaps of its members in a matrix of its own, and the
 matrices are summed per cell. From the sums come exact links, of which a cell hands on a spanning forest, so
 that no pair is ever a row. Equal sets are one class throughout; components are found over classes.
@@ -34,6 +35,7 @@ BLOCK = 512
 FRAGMENTS = 4
 WIDTH = 6  # bytes of a hash that are compared within a cell
 LOCAL_COUNT = 4
+SKETCH = 3  # sixteenths of the hash range
 
 
 class Sets:
@@ -51,8 +53,8 @@ class Sets:
             grams, text = np.concatenate([grams, alone]), np.concatenate([text, short])
         key = grams >> np.uint64(6)
         if len(hot):
-            place = np.minimum(np.searchsorted(hot, grams), len(hot) - 1)
-            key |= np.where(hot[place] == grams, level[place], 0).astype(np.uint64) << np.uint64(58)
+            place = np.minimum(np.searchsorted(hot, key), len(hot) - 1)
+            key |= np.where(hot[place] == key, level[place], 0).astype(np.uint64) << np.uint64(58)
         order = np.lexsort((key, text))
         key, text = key[order], text[order]
         new = np.ones(len(key), bool)
@@ -63,6 +65,13 @@ class Sets:
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(self.key << np.uint64(6)))])
         self.digest = mix((total[self.at[1:]] - total[self.at[:-1]]) ^ self.n.astype(np.uint64))
 
+    def sketches(self) -> list[bytes]:
+        """For each text the n-grams of the first fragment, 32 bits of each."""
+        chosen = (self.key >> np.uint64(20) & np.uint64(15)) < SKETCH
+        at = np.concatenate([[0], np.cumsum(chosen)])[self.at]
+        narrow = (self.key[chosen] >> np.uint64(24)).astype(np.uint32)
+        return [narrow[a:b].tobytes() for a, b in zip(at[:-1], at[1:])]
+
     @staticmethod
     def _whole(hashes: np.ndarray) -> np.uint64:
         value = len(hashes)
@@ -94,7 +103,7 @@ def _frequent(docs: DataFrame, size: int, share: float) -> tuple[np.ndarray, np.
     found = docs.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     least = max(share * docs.count(), 2 * LOCAL_COUNT)
     rows = found.where(F.col("n") >= least).toArrow()
-    hot = rows.column("gram").to_numpy().astype(np.int64).view(np.uint64) << np.uint64(6)
+    hot = rows.column("gram").to_numpy().astype(np.int64).view(np.uint64)
     level = np.clip(np.log2(rows.column("n").to_numpy() / least).astype(np.int64) + 1, 1, 63).astype(np.uint8)
     order = np.argsort(hot)
     return hot[order], level[order]
@@ -137,7 +146,7 @@ def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int32)
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, share: float = 1e-3) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, share: float = 1e-4) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for each row of ``docs(doc_id, text)``.
 
     Two documents link when 100 * |intersection| >= ``percent`` * |union| of their sets of ``size``-word
@@ -151,10 +160,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, share: fl
     def sign(batches):
         for step in steps(batches):
             s = Sets(step.column("text"), size, *frequent.value)
-            yield pa.RecordBatch.from_arrays([step.column("doc_id"), pa.array(s.n), pa.array(signed(s.digest))], ["doc_id", "n_shingles", "digest"])
+            arrays = [step.column("doc_id"), pa.array(s.n), pa.array(signed(s.digest)), pa.array(s.sketches(), pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_shingles", "digest", "sketch"])
 
     path = scratch_path(spark, "signatures")
-    docs.mapInArrow(sign, "doc_id long, n_shingles long, digest long").write.parquet(path)
+    docs.mapInArrow(sign, "doc_id long, n_shingles long, digest long, sketch binary").write.parquet(path)
     signatures = spark.read.parquet(path)
 
     def prefixes(batches):
@@ -190,9 +200,41 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, share: fl
     path = scratch_path(spark, "canopies")
     members.write.parquet(path)
     members = spark.read.parquet(path)
-    blocks = members.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = members.join(blocks, "pivot").withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
-    wanted = placed.groupBy("digest").agg(F.collect_list(F.struct("pivot", "block", "blocks")).alias("places"))
+    def placed(members):
+        blocks = members.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+        return members.join(blocks, "pivot").withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
+
+    def survivors(batches):
+        """Members of a cell that may link with another one, by an upper bound of their overlap."""
+        a: list[np.ndarray] = []
+        b: list[np.ndarray] = []
+        for group in groups(batches, ["pivot", "i", "j"]):
+            digest, block, n = (group.column(c).to_numpy() for c in ("digest", "block", "n"))
+            sets = [np.frombuffer(x, np.uint32) for x in group.column("sketch").to_pylist()]
+            left, right = np.flatnonzero(block == group.column("i")[0].as_py()), np.flatnonzero(block == group.column("j")[0].as_py())
+            if not len(left) or not len(right):
+                continue
+            rest = n - np.array([len(x) for x in sets])
+            most = _overlaps([sets[x] for x in left], [sets[x] for x in right]) + np.minimum(rest[left][:, None], rest[right][None, :])
+            may = 100 * most >= percent * (n[left][:, None] + n[right][None, :] - most)
+            may &= digest[left][:, None] != digest[right][None, :]
+            stay = np.unique(np.concatenate([digest[left][may.any(axis=1)], digest[right][may.any(axis=0)]]))
+            a.append(np.full(len(stay), group.column("pivot")[0].as_py()))
+            b.append(stay)
+            if len(a) >= 1000:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["pivot", "digest"])
+                a, b = [], []
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["pivot", "digest"])
+
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "n_shingles", "sketch"))
+    holder = signatures.where("n_shingles > 0").groupBy("digest").agg(one.alias("h"))
+    sketched = placed(members).join(holder, "digest").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    sketched = sketched.select("pivot", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "digest", F.col("h.n_shingles").alias("n"), "h.sketch")
+    sketched = sketched.repartition(n_parts, "pivot", "i", "j").sortWithinPartitions("pivot", "i", "j")
+    path = scratch_path(spark, "survivors")
+    sketched.mapInArrow(survivors, "pivot long, digest long").distinct().write.parquet(path)
+    wanted = placed(spark.read.parquet(path)).groupBy("digest").agg(F.collect_list(F.struct("pivot", "block", "blocks")).alias("places"))
     holder = signatures.where("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
     nameless = docs.where("doc_id is null").select("doc_id", "text", F.lit(None).cast("long").alias("digest"))
     # A class of which no row has a doc_id is rare; its texts are looked up by their digest instead.
@@ -317,7 +359,7 @@ def _orphan_texts(nameless: DataFrame, size: int, frequent, orphans: DataFrame)
     return texts.join(orphans, "digest").select("text", "digest", "places")
 
 
-def keep_first(docs: DataFrame, size: int = 5, percent: int = 80, share: float = 1e-3) -> DataFrame:
+def keep_first(docs: DataFrame, size: int = 5, percent: int = 80, share: float = 1e-4) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each component the row with the smallest ``doc_id``.
 
     Of rows with one ``doc_id`` and one text one stays. Rows without words or without ``doc_id`` stay.
