@@ -174,29 +174,36 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, share: fl
             new = np.array([not (d in seen or seen.add(d)) for d in s.digest.tolist()], bool) & (s.n > 0)
             length = np.where(new, s.n - (percent * s.n + 99) // 100 + 1, 0)
             pick = np.repeat(s.at[:-1], length) + np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(s.key[pick])), pa.array(signed(np.repeat(s.digest, length)))], ["gram", "digest"])
+            columns = [signed(s.key[pick]), np.repeat(s.n, length), signed(np.repeat(s.digest, length))]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["gram", "n", "digest"])
 
     def canopies(batches):
-        """Rows sorted by n-gram and digest: each digest with the smallest one that holds the n-gram."""
-        gram, pivot, told = None, None, False
+        """Rows sorted by n-gram and size. Holders of an n-gram part where a size is too small for the next; each part
+        of two or more different sets gives its members, with the smallest as their pivot."""
+        held = np.zeros((3, 0), np.int64)
+
+        def cut(rows: np.ndarray) -> pa.RecordBatch:
+            gram, n, digest = rows
+            apart = np.ones(len(gram), bool)
+            apart[1:] = (gram[1:] != gram[:-1]) | (100 * n[:-1] < percent * n[1:])
+            first = np.flatnonzero(apart)
+            if not len(first):
+                return pa.RecordBatch.from_pydict({"pivot": [], "digest": []}, pa.schema([("pivot", pa.int64()), ("digest", pa.int64())]))
+            low, high = np.minimum.reduceat(digest, first), np.maximum.reduceat(digest, first)
+            size = np.diff(np.append(first, len(gram)))
+            some = np.repeat(low != high, size)
+            pairs = np.unique(np.stack([np.repeat(low, size)[some], digest[some]], axis=1), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["pivot", "digest"])
+
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            g, d = batch.column("gram").to_numpy(), batch.column("digest").to_numpy()
-            first = np.ones(len(g), bool)
-            first[1:] = g[1:] != g[:-1]
-            first[0] = g[0] != gram
-            if not first[0]:
-                g, d, first = np.concatenate([[gram], g]), np.concatenate([[pivot], d]), np.concatenate([[True], first])
-            p = d[np.maximum.accumulate(np.where(first, np.arange(len(d)), 0))]
-            gram, pivot = g[-1], p[-1]
-            other = p != d
-            pairs = np.unique(np.stack([p[other], d[other]], axis=1), axis=0) if other.any() else np.zeros((0, 2), np.int64)
-            own = np.unique(pairs[:, 0])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([pairs[:, 0], own])), pa.array(np.concatenate([pairs[:, 1], own]))], ["pivot", "digest"])
-
-    held = docs.select("text").mapInArrow(prefixes, "gram long, digest long").repartition(n_parts, "gram")
-    members = held.sortWithinPartitions("gram", "digest").mapInArrow(canopies, "pivot long, digest long").distinct()
+            rows = np.concatenate([held, np.stack([batch.column(c).to_numpy() for c in ("gram", "n", "digest")])], axis=1)
+            whole = int(np.searchsorted(rows[0], rows[0][-1])) if rows.shape[1] else 0
+            held = rows[:, whole:]
+            yield cut(rows[:, :whole])
+        yield cut(held)
+
+    held = docs.select("text").mapInArrow(prefixes, "gram long, n long, digest long").repartition(n_parts, "gram")
+    members = held.sortWithinPartitions("gram", "n").mapInArrow(canopies, "pivot long, digest long").distinct()
     path = scratch_path(spark, "canopies")
     members.write.parquet(path)
     members = spark.read.parquet(path)
