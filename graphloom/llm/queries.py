@@ -91,8 +91,8 @@ g AS (
   )
 ),
 n AS (SELECT doc_id, COUNT(*) AS n FROM g GROUP BY doc_id),
-p AS (SELECT a.doc_id AS a, b.doc_id AS b, COUNT(*) AS both FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY 1, 2),
-l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * both >= 85 * (x.n + y.n - both)),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, COUNT(*) AS shared FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 85 * (x.n + y.n - shared)),
 e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
 SELECT d.doc_id, COALESCE(n.n, 0)::BIGINT AS n_shingles, c.component_id
