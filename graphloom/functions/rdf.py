@@ -72,7 +72,13 @@ def _fill(template: str, reference) -> Column:
 
 
 def iri_from_template(template: str) -> Column:
-    """``$(column)`` references are percent-encoded; a null reference makes the whole term null."""
+    """``$(column)`` references are percent-encoded; a null reference makes the whole term null.
+
+    A template that is one reference and nothing else holds whole IRIs, which stay as they are.
+    """
+    parts = _REFERENCE.split(template)
+    if len(parts) == 3 and not parts[0] and not parts[2]:
+        return F.col(parts[1]).cast("string")
     return _fill(template, percent_encode)
 
 
@@ -127,7 +133,7 @@ def triple_line(s: Column, p: Column, o: Column, kind: Column, datatype: Column,
 def parse_triple_line(line: Column) -> Column:
     """Struct ``s, p, o, o_kind, o_datatype, o_lang`` of an N-Triples line; null where malformed."""
     part = F.split(F.regexp_replace(line, _HEAD, _SEPARATOR.join(["$1", "$2", "$3", "$4"])), _SEPARATOR, 4)
-    rest = part[3]
+    rest = F.get(part, F.lit(3))
     iri, blank = (F.regexp_extract(rest, _NODE, k) for k in (1, 2))
     end = F.regexp_extract(rest, _LITERAL_END, 0)
     text = F.substring(rest, F.lit(2), F.length(rest) - F.length(end) - 1)
@@ -138,8 +144,8 @@ def parse_triple_line(line: Column) -> Column:
     return F.when(
         (F.size(part) == 4) & well_formed,
         F.struct(
-            F.when(part[1] != "", part[1]).otherwise(part[0]).alias("s"),
-            part[2].alias("p"),
+            F.when(F.get(part, F.lit(1)) != "", F.get(part, F.lit(1))).otherwise(F.get(part, F.lit(0))).alias("s"),
+            F.get(part, F.lit(2)).alias("p"),
             F.when(literal, unescape_literal(text)).when(blank != "", blank).otherwise(iri).alias("o"),
             F.when(literal, "literal").otherwise("iri").alias("o_kind"),
             optional(1).alias("o_datatype"),

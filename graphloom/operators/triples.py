@@ -156,11 +156,13 @@ def union_graphs(*graphs: DataFrame, distinct: bool = True) -> DataFrame:
 
 
 def add_triple(graph: DataFrame, s: str, p: str, o: str, kind: str = "iri", datatype: str | None = None) -> DataFrame:
-    row = graph.sparkSession.range(1).select(
-        _text(s).alias("s"), _text(p).alias("p"), _text(o).alias("o"),
-        _text(kind).alias("o_kind"), _text(datatype).alias("o_datatype"), _text(None).alias("o_lang"),
-    )
-    return union_graphs(graph, row)
+    """``graph``, a set of triples, with one more; no shuffle."""
+    values = {"s": s, "p": p, "o": o, "o_kind": kind, "o_datatype": datatype, "o_lang": None}
+    row = graph.sparkSession.range(1).select(*[_text(v).alias(c) for c, v in values.items()])
+    same = F.lit(True)
+    for c, v in values.items():
+        same &= F.col(c).eqNullSafe(_text(v))
+    return union_graphs(graph.where(~same), row, distinct=False)
 
 
 def match_triples(graph: DataFrame, s: str | None = None, p: str | None = None, o: str | None = None) -> DataFrame:

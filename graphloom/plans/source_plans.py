@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from graphloom.plans.people import SQL_SOURCES, sources, table
 from graphloom.session import scratch_path
-from graphloom.sources.tables import convert_table, load_source, read_csv, write_csv
+from graphloom.sources.tables import convert_table, load_source, write_csv
 from graphloom.sources.xlsx import read_xlsx, write_xlsx
 
 CUSTOMER = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
@@ -22,7 +22,7 @@ def _csv_documents(spark, d):
     """Whole texts with line ends, quotes and separators inside."""
     path = scratch_path(spark, "documents") + ".csv"
     write_csv(table(spark, d, "documents").select("doc_id", "lang", "text"), path)
-    return read_csv(spark, path, multi_line=True)
+    return load_source(spark, path)
 
 
 def _latin1(spark, d):

@@ -30,9 +30,17 @@ def _parsed(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return lines.select("value", parse_triple_line(F.col("value")).alias("t"))
 
 
-def read_ntriples(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Triples of one or more files; lines that do not parse are in ``malformed_lines``."""
-    return _parsed(spark, path).where("t is not null").select("t.*")
+def read_ntriples(spark: SparkSession, path: str | list[str], distinct: bool = True, fail: bool = False) -> DataFrame:
+    """Triples of one or more files as a set (``distinct=False`` where it is known to be one).
+
+    Lines that do not parse are left to ``malformed_lines``; with ``fail`` the first of them is an error.
+    """
+    parsed = _parsed(spark, path)
+    if fail:
+        wrong = F.raise_error(F.concat(F.lit("malformed line: "), F.col("value")))
+        parsed = parsed.withColumn("t", F.when(F.col("t").isNull(), wrong).otherwise(F.col("t")))
+    triples = parsed.where("t is not null").select("t.*")
+    return triples.distinct() if distinct else triples
 
 
 def malformed_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:

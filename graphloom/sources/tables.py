@@ -38,10 +38,10 @@ def strip_headers(df: DataFrame) -> DataFrame:
     return df.toDF(*[c.strip() for c in df.columns])
 
 
-def _csv_options(reader, sep: str, encoding: str, multi_line: bool):
+def _csv_options(reader, sep: str, encoding: str, multi_line: bool, mode: str = "FAILFAST"):
     return (
         reader.option("sep", sep).option("encoding", encoding).option("quote", '"').option("escape", '"')
-        .option("multiLine", multi_line).option("mode", "PERMISSIVE")
+        .option("multiLine", multi_line).option("mode", mode)
     )
 
 
@@ -52,10 +52,14 @@ def csv_header(spark: SparkSession, path: str, sep: str, encoding: str = "UTF-8"
 
 def read_csv(
     spark: SparkSession, path: str | list[str], sep: str = ";", encoding: str = "UTF-8", schema: T.StructType | None = None,
-    multi_line: bool = False,
+    multi_line: bool = False, mode: str = "FAILFAST",
 ) -> DataFrame:
-    """Delimited text with a header, every column a string unless a schema is given."""
-    reader = _csv_options(spark.read, sep, encoding, multi_line).option("header", True)
+    """Delimited text with a header, every column a string unless a schema is given.
+
+    A row with more or fewer cells than the header, or a file with another header than the first, is an
+    error; with ``mode="PERMISSIVE"`` such rows are cut or filled up instead.
+    """
+    reader = _csv_options(spark.read, sep, encoding, multi_line, mode).option("header", True).option("enforceSchema", mode == "PERMISSIVE")
     if schema is None:
         first = path if isinstance(path, str) else path[0]
         schema = T.StructType([T.StructField(c, T.StringType()) for c in csv_header(spark, first, sep, encoding)])
@@ -74,17 +78,18 @@ def undecodable_files(spark: SparkSession, path: str) -> list[str]:
 
 
 def read_csv_any_encoding(
-    spark: SparkSession, path: str, sep: str = ";", fallback: str = "ISO-8859-1", multi_line: bool = False
+    spark: SparkSession, path: str, sep: str = ";", fallback: str = "ISO-8859-1", multi_line: bool = False,
+    schema: T.StructType | None = None, mode: str = "FAILFAST",
 ) -> DataFrame:
     """UTF-8 files as such, the others in the fallback encoding, as one table."""
     bad = undecodable_files(spark, path)
     if not bad:
-        return read_csv(spark, path, sep, multi_line=multi_line)
+        return read_csv(spark, path, sep, schema=schema, multi_line=multi_line, mode=mode)
     table = None
     good = [r["file"] for r in _files(spark, path).collect() if r["file"] not in set(bad)]
     for files, encoding in ((good, "UTF-8"), (bad, fallback)):
         if files:
-            part = read_csv(spark, files, sep, encoding, multi_line=multi_line)
+            part = read_csv(spark, files, sep, encoding, schema, multi_line, mode)
             table = part if table is None else table.unionByName(part)
     return table
 
@@ -93,8 +98,14 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"))
 
 
-def load_source(spark: SparkSession, path: str, fmt: str | None = None, sep: str = ";") -> DataFrame:
-    """A table by the format of its name: ``.csv`` (with encoding fallback), ``.xlsx``, ``.parquet``."""
+def load_source(
+    spark: SparkSession, path: str, fmt: str | None = None, sep: str = ";", fallback: str = "ISO-8859-1", multi_line: bool = True,
+    schema: T.StructType | None = None, mode: str = "FAILFAST",
+) -> DataFrame:
+    """A table by the format of its name: ``.csv`` (with encoding fallback), ``.xlsx``, ``.parquet``.
+
+    Quoted cells of a CSV may hold line ends. Without any, ``multi_line=False`` lets Spark split large files.
+    """
     from graphloom.sources.xlsx import read_xlsx
 
     kind = (fmt or path.rstrip("/").rsplit(".", 1)[-1]).lower()
@@ -102,7 +113,7 @@ def load_source(spark: SparkSession, path: str, fmt: str | None = None, sep: str
         raise ValueError(f"format not supported: '{kind}'")
     require_paths(spark, {"source": path})
     if kind == "csv":
-        return read_csv_any_encoding(spark, path, sep)
+        return read_csv_any_encoding(spark, path, sep, fallback, multi_line, schema, mode)
     return read_xlsx(spark, path) if kind == "xlsx" else spark.read.parquet(path)
 
 

@@ -151,3 +151,15 @@ def test_stream(spark, frames):
     query.awaitTermination(120)
     assert rows(read_ntriples(spark, out)) == rows(T.materialize(frames, [T.CUSTOMER_MAPPING]))
     assert triple_lines(stream.limit(0).selectExpr("'a' s", "'b' p", "'c' o", "'iri' o_kind", "'' o_datatype", "'' o_lang")).isStreaming
+
+
+def test_ntriples_set_failing_mode_and_whole_iris(spark, tmp_path):
+    (tmp_path / "g.nt").write_text("<http://a> <http://p> <http://b> .\n<http://a> <http://p> <http://b> .\nnonsense\n")
+    path = str(tmp_path / "g.nt")
+    assert read_ntriples(spark, path).count() == 1 and read_ntriples(spark, path, distinct=False).count() == 2
+    with pytest.raises(Exception, match="malformed line"):
+        read_ntriples(spark, path, fail=True).collect()
+    one = spark.createDataFrame([("http://x.org/a?b=c",)], "url string").select(rdf.iri_from_template("$(url)").alias("u"))
+    assert one.first()["u"] == "http://x.org/a?b=c"
+    graph = read_ntriples(spark, path)
+    assert T.add_triple(graph, "http://a", "http://p", "http://b").count() == 1

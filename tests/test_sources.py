@@ -75,3 +75,17 @@ def test_conversion_replaces_or_reuses(spark, tmp_path):
         S.convert_table(spark, source, target, reuse=reuse)
         got = S.load_source(spark, target, sep=",")
         assert got.columns == ["id"] and got.count() == (1 if reuse else k)
+
+
+def test_csv_faults_are_errors(spark, tmp_path):
+    (tmp_path / "ragged.csv").write_text("a;b\n1;2;3\n")
+    (tmp_path / "quoted.csv").write_text('a;b\n1;"x\ny"\n')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        S.load_source(spark, str(tmp_path / "ragged.csv")).collect()
+    assert [tuple(r) for r in S.load_source(spark, str(tmp_path / "ragged.csv"), mode="PERMISSIVE").collect()] == [("1", "2")]
+    assert [tuple(r) for r in S.load_source(spark, str(tmp_path / "quoted.csv")).collect()] == [("1", "x\ny")]
+    (tmp_path / "two").mkdir()
+    (tmp_path / "two" / "1.csv").write_text("id;name\n1;Ann\n")
+    (tmp_path / "two" / "2.csv").write_text("name;id\nBob;2\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        S.load_source(spark, str(tmp_path / "two"), "csv").collect()
