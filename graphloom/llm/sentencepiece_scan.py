@@ -2,7 +2,7 @@
 
 The best segmentation of a text is a longest path over its cuts. No piece has the blank mark after another character,
 so a cut stands before every run of blanks and the stretches between such cuts (units) are segmented on their own, each
-different unit of a task once, many at a time with arrays.
+different unit of a step once (told apart by 64-bit hashes), all units of like length at a time with arrays.
 
 A giant document is cut into chunks of ``chunk`` characters, wherever that falls. The state at a boundary is how
 many characters before it the last cut lies; a chunk yields the matrix of best scores from each state at its begin to
@@ -37,11 +37,14 @@ from graphloom.llm.words import groups, mix, parts, steps
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 CHUNK = 16_384
-CACHE = 400_000
 #: Units up to this length are segmented many at a time.
 UNIT = 64
 LOW = -1e18
 _UNITS = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
+_BEGIN = re.compile(f"(?<!{BLANK}){BLANK}")
+_LEAD = np.uint64(44)
+#: Bytes of text that are segmented together.
+TOGETHER = 8_000_000
 
 
 def zipf_scores(n: int) -> np.ndarray:
@@ -67,7 +70,9 @@ def load(path: str = MODEL, own_scores: bool | None = None) -> dict:
         raise ValueError("a piece has a blank after another character; units would not be independent")
     values = np.array([_hash(pieces[i]) for i in normal], np.uint64)
     order = np.argsort(values)
+    sharing = np.bincount((values >> _LEAD).astype(np.int64), minlength=1 << 64 - int(_LEAD))
     return {
+        "sieve": sharing > 0, "first": (np.cumsum(sharing) - sharing).astype(np.int32), "deepest": int(sharing.max()),
         "pieces": pieces, "keys": values[order], "ids": normal[order].astype(np.int32), "scores": scores[normal][order],
         "longest": max(len(pieces[i]) for i in normal), "unknown": float(scores[normal].min() - 10),
         "bytes": [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)],
@@ -84,59 +89,144 @@ def _hash(piece: str) -> int:
     return int(mix(h)[0])
 
 
-def matches(model: dict, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def lookup(model: dict, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the hashes are pieces, and their places. The leading bits sort most others out and lead to the first key that shares them."""
+    lead = value >> _LEAD
+    some = np.flatnonzero(model["sieve"][lead])
+    value, at = value[some], model["first"][lead[some]]
+    for _ in range(model["deepest"] - 1):
+        at = np.minimum(at + (model["keys"][at] < value), len(model["keys"]) - 1)
+    hit = model["keys"][at] == value
+    return some[hit], at[hit]
+
+
+def matches(model: dict, text: str) -> tuple[np.ndarray, np.ndarray]:
     """Scores and ids of the pieces that begin at each character, by length (last axis); -1 for an unknown character."""
-    longest, keys = model["longest"], model["keys"]
-    score = np.full((*codes.shape, longest + 1), LOW)
-    ids = np.full((*codes.shape, longest + 1), -2, np.int32)
-    h = np.zeros(codes.shape, np.uint64)
-    width = codes.shape[-1]
+    codes = code_points([text])[0].astype(np.uint64) + np.uint64(1)
+    longest, width = model["longest"], len(codes)
+    score, ids = np.full((width, longest + 1), LOW), np.full((width, longest + 1), -2, np.int32)
+    h = np.zeros(width, np.uint64)
     for n in range(1, min(longest, width) + 1):
-        ahead = codes[..., n - 1 :]
-        h = h[..., : width - n + 1] * _FACTOR + ahead.astype(np.uint64) + np.uint64(1)
-        value = mix(h)
-        at = np.minimum(np.searchsorted(keys, value), len(keys) - 1)
-        hit = (keys[at] == value) & (codes[..., : width - n + 1] > 0) & (ahead > 0)
-        score[..., : width - n + 1, n] = np.where(hit, model["scores"][at], LOW)
-        ids[..., : width - n + 1, n] = np.where(hit, model["ids"][at], -2)
-    alone = (ids[..., 1] == -2) & (codes > 0)
-    score[..., 1][alone] = model["unknown"]
-    ids[..., 1][alone] = -1
+        h = h[: width - n + 1] * _FACTOR + codes[n - 1 :]
+        row, at = lookup(model, mix(h))
+        score[row, n], ids[row, n] = model["scores"][at], model["ids"][at]
+    alone = ids[:, 1] == -2
+    score[alone, 1], ids[alone, 1] = model["unknown"], -1
     return score, ids
 
 
-def _codes(texts: list[str]) -> np.ndarray:
-    out = np.zeros((len(texts), max(map(len, texts))), np.uint32)
-    for i, t in enumerate(texts):
-        out[i, : len(t)] = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return out
-
-
-def segment(model: dict, units: list[str]) -> list[tuple[list[int], float]]:
-    """Ids (unknown characters as bytes) and score of the best segmentation of each unit."""
-    out: list = [None] * len(units)
-    by_length = sorted(range(len(units)), key=lambda i: len(units[i]))
-    at = 0
-    while at < len(by_length):
-        size = max(200_000 // (len(units[by_length[at]]) + 4), 1)
-        part = by_length[at : at + size]
-        longest = len(units[part[0]]) * 3 // 2 + 2
-        part = [i for i in part if len(units[i]) <= longest]
+def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all texts after each other, and where each begins (one more entry for the end)."""
+    at = np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)])
+    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32), at
+
+
+def _spread(counts: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Places ``starts[i] .. starts[i] + counts[i]`` for all i after each other."""
+    before = np.cumsum(counts) - counts
+    return np.arange(counts.sum()) + np.repeat(starts - before, counts)
+
+
+def _distinct(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One place for each different unit, and for each unit which that is, by a 64-bit hash of its characters."""
+    out, i = np.empty(len(starts), np.uint64), 0
+    inverse = np.uint64(pow(int(_FACTOR), -1, 1 << 64))
+    while i < len(starts):
+        j = max(int(np.searchsorted(ends, starts[i] + (1 << 19), "right")), i + 1)
+        begin, size = starts[i], int(ends[j - 1] - starts[i])
+        up = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size, _FACTOR)]))
+        down = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size, inverse)]))
+        local = starts[i:j] - begin
+        total = np.add.reduceat(mix(codes[begin : begin + size].astype(np.uint64) + np.uint64(1)) * up[:size], local)
+        out[i:j] = mix(total * down[local])
+        i = j
+    _, first, which = np.unique(out, return_index=True, return_inverse=True)
+    return first, which
+
+
+def _lattices(model: dict, codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the best segmentation of units of like length, one unit a column, and how many ids each has. An unknown character ``c`` is ``-4 - c``."""
+    width, n = int(sizes.max()), len(starts)
+    place = np.arange(width)[:, None]
+    inside = place < sizes[None, :]
+    code = np.where(inside, codes[np.where(inside, starts[None, :] + place, 0)].astype(np.uint64) + np.uint64(1), np.uint64(0))
+    best = np.full((width + 1, n), LOW)
+    best[0] = 0
+    back, piece = np.zeros((width + 1, n), np.int32), np.full((width + 1, n), -3, np.int32)
+    for i in range(width):
+        h = np.zeros(n, np.uint64)
+        for length in range(1, min(model["longest"], width - i) + 1):
+            h = h * _FACTOR + code[i + length - 1]
+            end = i + length
+            if length == 1:
+                alone = best[i] + model["unknown"] > best[end]
+                best[end][alone] = best[i][alone] + model["unknown"]
+                back[end][alone] = 1
+                piece[end][alone] = -3 - code[i][alone].astype(np.int32)
+            column, at = lookup(model, mix(h))
+            new = best[i][column] + model["scores"][at]
+            better = new > best[end][column]  # of ties the first stays: the longest last piece
+            column, at = column[better], at[better]
+            best[end][column] = new[better]
+            back[end][column] = length
+            piece[end][column] = model["ids"][at]
+    cut, each, found = sizes.astype(np.int64), np.arange(n), []
+    while cut.any():
+        found.append(np.where(cut > 0, piece[cut, each], -3))
+        cut = cut - back[cut, each]
+    ids = np.stack(found[::-1]).T
+    return ids[ids != -3], (ids != -3).sum(axis=1)
+
+
+def _spelled(model: dict, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unknown characters as their bytes."""
+    odd = ids < -3
+    if not odd.any():
+        return ids, counts
+    chars, which = np.unique(-4 - ids[odd], return_inverse=True)
+    spelt = [np.array([model["bytes"][b] for b in chr(c).encode("utf-8", "surrogatepass")], np.int32) for c in chars.tolist()]
+    sizes = np.ones(len(ids), np.int64)
+    sizes[odd] = np.array([len(x) for x in spelt])[which]
+    out = np.repeat(ids, sizes)
+    out[np.repeat(odd, sizes)] = np.concatenate([spelt[i] for i in which.tolist()])
+    return out, np.bincount(np.repeat(np.arange(len(counts)), counts), sizes, len(counts)).astype(np.int64)
+
+
+def segmented(model: dict, texts: list[str]) -> list[np.ndarray]:
+    """Ids of each text. A text begins with a blank or is one unit; each different unit is segmented once."""
+    codes, text_at = code_points(texts)
+    if not len(codes):
+        return [np.zeros(0, np.int32)] * len(texts)
+    first = codes == ord(BLANK)
+    first[1:] &= codes[:-1] != ord(BLANK)
+    first[text_at[:-1][np.diff(text_at) > 0]] = True
+    starts = np.flatnonzero(first)
+    ends = np.append(starts[1:], len(codes))
+    one, which = _distinct(codes, starts, ends)
+    begin, size = starts[one], (ends - starts)[one]
+    counts, held, place = np.zeros(len(one), np.int64), [], np.zeros(len(one), np.int64)
+    order, at, total = np.argsort(size, kind="stable"), 0, 0
+    ordered = size[order]
+    while at < len(order):
+        small = int(ordered[at])
+        if small > UNIT:
+            part = order[at : at + 1]
+            text = codes[begin[part[0]] : begin[part[0]] + small].tobytes().decode("utf-32-le", "surrogatepass")
+            ids = np.array(Encoder(model).unit(text), np.int32)
+            n = np.array([len(ids)])
+        else:
+            wide = small if small <= 16 else min(small * 5 // 4, UNIT)
+            stop = min(int(np.searchsorted(ordered, wide, "right")), at + max(400_000 // small, 1))
+            part = order[at:stop]
+            ids, n = _spelled(model, *_lattices(model, codes, begin[part], size[part]))
+        counts[part], place[part] = n, total + np.cumsum(n) - n
+        held.append(ids)
+        total += len(ids)
         at += len(part)
-        codes = _codes([units[i] for i in part])
-        score, ids = matches(model, codes)
-        n, width = codes.shape
-        best, back = np.full((n, width + 1), LOW), np.zeros((n, width + 1), np.int8 if model["longest"] < 128 else np.int32)
-        best[:, 0] = 0
-        for j in range(1, width + 1):
-            for length in range(min(model["longest"], j), 0, -1):
-                new = best[:, j - length] + score[:, j - length, length]
-                better = new > best[:, j]
-                best[better, j] = new[better]
-                back[better, j] = length
-        for row, i in enumerate(part):
-            out[i] = (_trace(model, units[i], 0, len(units[i]), back[row].tolist(), ids[row]), float(best[row, len(units[i])]))
-    return out
+    counts, place = counts[which], place[which]
+    ids = np.concatenate(held)[_spread(counts, place)]
+    ends = np.concatenate([[0], np.cumsum(counts)])[np.searchsorted(starts, text_at)]
+    return [ids[a:b] for a, b in zip(ends[:-1], ends[1:])]
 
 
 def _trace(model: dict, text: str, begin: int, end: int, back: list[int], ids: np.ndarray) -> list[int]:
@@ -150,26 +240,23 @@ def _trace(model: dict, text: str, begin: int, end: int, back: list[int], ids: n
 
 
 class Encoder:
-    """Segmentation of normalised text, unit by unit, with the units seen so far in this task."""
+    """Paths through one text, character by character: units that are long, and the two ends of a chunk."""
 
     def __init__(self, model: dict):
         self.model, self.known = model, {}
 
+    def unit(self, text: str) -> list[int]:
+        _, back, ids = self.paths(text, 0, np.zeros((1, 1)))
+        return _trace(self.model, text, 0, len(text), back[0], ids)
+
     def units(self, units: Iterable[str]) -> None:
-        if len(self.known) > CACHE:
-            self.known = {}
-        new = [u for u in dict.fromkeys(units) if u not in self.known]
-        short = [u for u in new if len(u) <= UNIT]
-        self.known.update(zip(short, segment(self.model, short)))
-        for u in new:
-            if len(u) > UNIT:
-                best, back, ids = self.paths(u, 0, np.zeros((1, 1)))
-                self.known[u] = (_trace(self.model, u, 0, len(u), back[0], ids), float(best[0, len(u)]))
+        """The plain way, unit by unit: ids and score go to ``known``."""
+        for u in dict.fromkeys(units):
+            self.known[u] = (self.unit(u), float(self.paths(u, 0, np.zeros((1, 1)))[0][0, len(u)]))
 
     def paths(self, text: str, boundary: int, starts: np.ndarray) -> tuple[np.ndarray, list, np.ndarray]:
         """Best scores at all cuts of ``text`` and the ways back. ``starts[i, a]`` is what path i has at the cut ``a`` characters before ``boundary``."""
-        score, ids = matches(self.model, _codes([text]))
-        score, ids = score[0], ids[0]
+        score, ids = matches(self.model, text)
         best = np.full((len(starts), len(text) + 1), LOW)
         back = np.zeros((len(starts), len(text) + 1), np.int32)
         states = min(starts.shape[1] - 1, boundary)
@@ -185,45 +272,49 @@ class Encoder:
 
     def parts(self, text: str, boundary: int) -> tuple[str, str, str | None]:
         """A chunk's head up to the first unit that begins in it, its whole units, and the last one (None: no unit begins in it)."""
-        inner = [m.start() for m in re.finditer(f"(?<!{BLANK}){BLANK}", text) if m.start() >= boundary]
-        return (text[: inner[0]], text[inner[0] : inner[-1]], text[inner[-1] :]) if inner else (text, "", None)
+        inner = _BEGIN.search(text, boundary)
+        if inner is None:
+            return text, "", None
+        last = len(text[: text.rfind(BLANK) + 1].rstrip(BLANK))
+        last = max(last, inner.start())
+        return text[: inner.start()], text[inner.start() : last], text[last:]
 
     def transfer(self, text: str, boundary: int) -> np.ndarray:
-        """Best scores of ``text[boundary:]`` from each state at its begin to each state at its end."""
+        """Best scores of ``text[boundary:]`` from each state at its begin to each state at its end, up to what all paths share: the units that lie whole in it."""
         top = self.model["longest"]
-        head, rest, tail = self.parts(text, boundary)
+        head, _, tail = self.parts(text, boundary)
         apart = np.where(np.eye(top, dtype=bool), 0.0, LOW)
         first = self.paths(head, boundary, apart)[0]
-        if tail is None:
-            ends = first[:, ::-1][:, :top]
-        else:
-            units = _UNITS.findall(rest)
-            self.units(units)
-            middle = sum(self.known[u][1] for u in units)
-            ends = first[:, -1:] + middle + self.paths(tail, 0, apart[:1, :1])[0][:, ::-1][:, :top]
+        ends = first[:, ::-1][:, :top] if tail is None else first[:, -1:] + self.paths(tail, 0, apart[:1, :1])[0][:, ::-1][:, :top]
         matrix = np.full((top, top), LOW)
         matrix[:, : ends.shape[1]] = np.maximum(ends, LOW)
         return matrix
 
-    def trace(self, text: str, boundary: int, reach: np.ndarray, leave: int) -> tuple[int, list[int]]:
-        """Where the path that leaves in state ``leave`` enters, and the ids between; ``reach`` has the best scores of the states at the begin."""
+    def ends(self, text: str, boundary: int, reach: np.ndarray, leave: int) -> tuple[int, list[int], str, list[int]]:
+        """Where the path that leaves in state ``leave`` enters, the ids up to the first unit that begins in the chunk, the whole units, and the
+        ids after these; ``reach`` has the best scores of the states at the begin."""
         head, rest, tail = self.parts(text, boundary)
         _, back, ids = self.paths(head, boundary, reach[None, :] - reach.max())
         end = len(head) - (leave if tail is None else 0)
         begin = end
         while begin > boundary:
             begin -= back[0][begin]
-        found = _trace(self.model, head, begin, end, back[0], ids)
+        before, after = _trace(self.model, head, begin, end, back[0], ids), []
         if tail is not None:
-            units = _UNITS.findall(rest)
-            self.units(units)
             _, back, ids = self.paths(tail, 0, np.zeros((1, 1)))
-            found += [x for u in units for x in self.known[u][0]] + _trace(self.model, tail, 0, len(tail) - leave, back[0], ids)
-        return boundary - begin, found
+            after = _trace(self.model, tail, 0, len(tail) - leave, back[0], ids)
+        return boundary - begin, before, rest, after
+
+    def trace(self, text: str, boundary: int, reach: np.ndarray, leave: int) -> tuple[int, list[int]]:
+        """Where the path that leaves in state ``leave`` enters, and the ids between."""
+        enter, before, rest, after = self.ends(text, boundary, reach, leave)
+        return enter, before + segmented(self.model, [rest])[0].tolist() + after
 
     def entries(self, text: str, boundary: int, reach: np.ndarray, possible: np.ndarray) -> list[int]:
-        """The state in which a path enters, for each state in which it may leave."""
-        return [self.trace(text, boundary, reach, b)[0] if ok else 0 for b, ok in enumerate(possible)]
+        """The state in which a path enters, for each state in which it may leave. Where a unit begins in the chunk, all paths enter alike."""
+        if self.parts(text, boundary)[2] is not None:
+            return [self.ends(text, boundary, reach, 0)[0]] * len(possible)
+        return [self.ends(text, boundary, reach, b)[0] if ok else 0 for b, ok in enumerate(possible)]
 
 
 def normalised(text: str) -> str:
@@ -275,12 +366,8 @@ def encode(docs: DataFrame, model_path: str = MODEL, chunk: int = CHUNK) -> Data
     long = F.coalesce(F.char_length("text") > chunk, F.lit(False))
 
     def short(batches):
-        encoder = Encoder(shared.value)
-        for step in steps(batches):
-            units = [_UNITS.findall(normalised(t or "")) for t in step.column("text").to_pylist()]
-            encoder.units(u for text in units for u in text)
-            known = encoder.known
-            ids = [np.array([x for u in text for x in known[u][0]], np.int32) for text in units]
+        for step in steps(batches, limit=TOGETHER):
+            ids = segmented(shared.value, [normalised(t or "") for t in step.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([*step.columns, _lists(ids)], ["doc_id", "text", "ids"])
 
     def cut(batches):
@@ -320,9 +407,11 @@ def encode(docs: DataFrame, model_path: str = MODEL, chunk: int = CHUNK) -> Data
 
     def trace(batches):
         encoder = Encoder(shared.value)
-        for step in steps(batches):
+        for step in steps(batches, limit=TOGETHER):
             rows = zip(*(step.column(c).to_pylist() for c in ("text", "boundary", "reach", "leave")))
-            ids = [np.array(encoder.trace(t, b, np.frombuffer(r, float), x)[1], np.int32) for t, b, r, x in rows]
+            ends = [encoder.ends(t, b, np.frombuffer(r, float), x) for t, b, r, x in rows]
+            inner = segmented(shared.value, [rest for _, _, rest, _ in ends])
+            ids = [np.concatenate([np.array(x, np.int32) for x in (before, ids, after)]) for (_, before, _, after), ids in zip(ends, inner)]
             yield pa.RecordBatch.from_arrays([step.column("key"), step.column("n"), _lists(ids)], ["key", "n", "ids"])
 
     n = parts(spark)

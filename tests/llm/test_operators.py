@@ -419,6 +419,19 @@ def test_chunks_give_the_whole_segmentation():
                 assert [x for r, a, b in zip(rows, reach, states[1:]) for x in encoder.trace(*r, a, b)[1]] == want
 
 
+def test_units_together_as_one_by_one():
+    model = sentencepiece_scan.load()
+    plain = sentencepiece_scan.Encoder(model)
+    random.seed(4)
+    texts = ["", "a\0b", "日本語" * 50, "x" * 300, "▁ ▁"] + ["".join(random.choice("abe the😀 \n\0") for _ in range(random.randint(0, 200))) for _ in range(60)]
+    whole = [sentencepiece_scan.normalised(t) for t in texts * 2]
+    for text, ids in zip(whole, sentencepiece_scan.segmented(model, whole)):
+        units = sentencepiece_scan._UNITS.findall(text)
+        plain.units(units)
+        assert ids.tolist() == [x for u in units for x in plain.known[u][0]]
+    assert all(len(x) == 0 for x in sentencepiece_scan.segmented(model, ["", ""]))
+
+
 def test_round_trip(spark, awkward, empty, tiny):
     docs = spark.read.parquet(f"{tiny}/documents.parquet")
     rows = sentencepiece_scan.decode(sentencepiece_scan.encode(docs, chunk=1_000)).collect()
