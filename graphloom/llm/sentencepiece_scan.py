@@ -416,8 +416,8 @@ def encode(docs: DataFrame, model_path: str = MODEL, chunk: int = CHUNK) -> Data
 
     n = parts(spark)
     giants = docs.where(long).withColumn("key", F.sha2("text", 256))
-    texts = giants.groupBy("key").agg(F.first("text").alias("text"))
-    chunks = texts.mapInArrow(cut, "key string, n int, boundary int, text string").repartition(n, "key", "n")
+    # copies of a text give equal chunks, of which one stays; each task drops its own copies before the shuffle
+    chunks = giants.select("key", "text").mapInArrow(cut, "key string, n int, boundary int, text string").dropDuplicates(["key", "n"])
     by_text = lambda df: df.repartition(n, "key").sortWithinPartitions("key", "n")
     reached = by_text(chunks.mapInArrow(transfer, "key string, n int, matrix binary")).mapInArrow(forward, "key string, n int, reach binary, possible array<boolean>")
     entered = by_text(chunks.join(reached, ["key", "n"]).mapInArrow(enter, "key string, n int, entries array<int>"))
