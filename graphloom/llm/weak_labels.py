@@ -6,8 +6,9 @@ labeller votes how for good and for poor documents, and the share of good ones.
 documents, and the posterior labels train a linear scorer over hashed byte trigrams, which also judges what no labeller
 speaks about.
 
-Votes, counts and scores cover all documents. The scorer is fitted on at most ``sample`` documents, those with the smallest
-digests, half of them from either side of the posterior: a bounded sample, as its fit does not gain from more.
+Votes, counts and scores cover all documents. The scorer is fitted on at most ``sample`` different texts, those with the smallest
+digests, half of them from either side of the posterior: a bounded sample, as its fit does not gain from more. Digests are
+counted by their logarithm, which tells below which value each half lies; only texts below it leave their tasks, copies once.
 
 Empty cases: a null or empty text has no words; the labellers find it poor, and its score is 0. Repeated rows and rows without ``doc_id`` vote and get a
 result row each. Without any fault found in the corpus all posteriors are good.
@@ -17,11 +18,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from graphloom.llm.words import Words, mix, shingles, signed, steps
+from graphloom.llm.words import Words, mix, shingles, steps, text_bytes
+from graphloom.session import scratch_path
 
 GOOD, POOR, NONE = 1, 0, 2
 LABELLERS = ["symbols", "marked", "letters", "endings", "capitals", "repeats", "variety", "pairs", "triples", "sentences", "bars", "length", "word_size"]
@@ -163,6 +166,18 @@ def fit(index: np.ndarray, weight: np.ndarray, at: np.ndarray, label: np.ndarray
     return w
 
 
+def digests(column: pa.Array) -> np.ndarray:
+    """A digest of 63 bits for each text."""
+    data, at = text_bytes(column)
+    raw = memoryview(np.ascontiguousarray(data))
+    return np.array([xxhash.xxh3_64_intdigest(raw[a:b]) >> 1 for a, b in zip(at.tolist(), at[1:].tolist())], np.int64)
+
+
+def ranges(digest: np.ndarray) -> np.ndarray:
+    """Range of a digest: at most 16,129 ranges, whose bounds grow by 0.3 % each."""
+    return np.floor(256 * np.log2(digest + 1.0)).astype(np.int32)
+
+
 def score(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """``docs`` with ``n_good``, ``n_poor`` (votes), ``posterior`` (of the votes) and ``quality`` (the scorer's, 0 to 1)."""
     spark = docs.sparkSession
@@ -171,10 +186,14 @@ def score(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
     def vote(batches):
         for step in steps(batches):
-            code = votes(Words(step.column("text"))) @ base
-            yield pa.RecordBatch.from_arrays([pa.array(code, pa.int32())], ["code"])
-
-    counted = docs.select("text").mapInArrow(vote, "code int").groupBy("code").count().toArrow()
+            digest = digests(step.column("text"))
+            arrays = [pa.array(votes(Words(step.column("text"))) @ base, pa.int32()), pa.array(digest), pa.array(ranges(digest))]
+            yield pa.RecordBatch.from_arrays(arrays, ["code", "digest", "range"])
+
+    path = scratch_path(spark, "votes")
+    docs.select("text").mapInArrow(vote, "code int, digest long, range int").write.parquet(path)
+    voted = spark.read.parquet(path)
+    counted = voted.groupBy("code").count().toArrow()
     code, count = counted.column("code").to_numpy(), counted.column("count").to_numpy().astype(float)
     table = np.full(3**k, 0.5)
     if len(code):
@@ -182,26 +201,43 @@ def score(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
         table[code] = estimate(patterns, count)[0]
     labels = spark.sparkContext.broadcast(table)
 
-    def drawn(batches):
-        for step in steps(batches):
-            words = Words(step.column("text"))
-            posterior = labels.value[votes(words) @ base]
-            at, n = words.text_at, step.num_rows
-            digest = mix(np.array([int(words.data[a:b].sum(dtype=np.uint64)) * 31 + (b - a) for a, b in zip(at.tolist(), at[1:].tolist())], np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(signed(digest)), pa.array((posterior >= 0.5).astype(np.int8)), step.column("text")], ["digest", "side", "text"])
-
-    pool = docs.select("text").mapInArrow(drawn, "digest long, side byte, text string")
-    half = [pool.where(F.col("side") == s).orderBy("digest", "text").limit(sample // 2) for s in (0, 1)]
+    def sided(batches):
+        for batch in batches:
+            side = labels.value[batch.column("code").to_numpy()] >= 0.5
+            yield pa.RecordBatch.from_arrays([batch.column("range"), pa.array(side.astype(np.int8))], ["range", "side"])
+
+    different = voted.groupBy("digest").agg(F.min("code").alias("code"), F.min("range").alias("range"))
+    held = different.select("code", "range").mapInArrow(sided, "range int, side byte").groupBy("side", "range").count().toArrow()
+    last = np.full(2, -1)
+    for side in (0, 1):
+        mine = held.column("side").to_numpy() == side
+        at, n = held.column("range").to_numpy()[mine], held.column("count").to_numpy()[mine]
+        order = np.argsort(at)
+        if len(order):
+            enough = int(np.searchsorted(np.cumsum(n[order]), sample // 2))
+            last[side] = at[order][min(enough, len(order) - 1)]
 
     def describe(batches):
+        seen: set[int] = set()
         for step in steps(batches):
-            words = Words(step.column("text"))
-            index, weight, at = features(words)
+            digest = digests(step.column("text"))
+            near = np.flatnonzero(ranges(digest) <= last.max())
+            near = np.array([i for i in near.tolist() if not (digest[i] in seen or seen.add(digest[i]))], np.int64)
+            if not len(near):
+                continue
+            words, digest = Words(step.column("text").take(pa.array(near))), digest[near]
             posterior = labels.value[votes(words) @ base]
-            lists = lambda x: [x[a:b].tobytes() for a, b in zip(at, at[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array(posterior), pa.array(lists(index.astype(np.int32)), pa.binary()), pa.array(lists(weight.astype(np.float32)), pa.binary())], ["posterior", "index", "weight"])
-
-    rows = half[0].union(half[1]).select("text").mapInArrow(describe, "posterior double, index binary, weight binary").toArrow()
+            side = (posterior >= 0.5).astype(np.int8)
+            index, weight, at = features(words)
+            lists = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary())
+            arrays = [pa.array(digest), pa.array(side), pa.array(posterior), lists(index.astype(np.int32)), lists(weight.astype(np.float32))]
+            batch = pa.RecordBatch.from_arrays(arrays, ["digest", "side", "posterior", "index", "weight"])
+            yield batch.filter(pa.array(ranges(digest) <= last[side]))
+
+    drawn = docs.select("text").mapInArrow(describe, "digest long, side byte, posterior double, index binary, weight binary").dropDuplicates(["digest"])
+    rows = drawn.toArrow().sort_by("digest")
+    side = rows.column("side").to_numpy()
+    rows = rows.take(pa.array(np.sort(np.concatenate([np.flatnonzero(side == s)[: sample // 2] for s in (0, 1)]))))
     fitted = np.zeros(DIMENSIONS + 1)
     if rows.num_rows:
         index = [np.frombuffer(x, np.int32) for x in rows.column("index").to_pylist()]
