@@ -364,6 +364,7 @@ def encode(docs: DataFrame, model_path: str = MODEL, chunk: int = CHUNK) -> Data
     shared = spark.sparkContext.broadcast(model)
     docs = docs.select("doc_id", "text")
     long = F.coalesce(F.char_length("text") > chunk, F.lit(False))
+    narrow = np.uint16 if len(model["pieces"]) <= 1 << 16 else np.int32  # ids of chunks while they are shuffled
 
     def short(batches):
         for step in steps(batches, limit=TOGETHER):
@@ -375,15 +376,18 @@ def encode(docs: DataFrame, model_path: str = MODEL, chunk: int = CHUNK) -> Data
         lead = shared.value["longest"] - 1
         for step in steps(batches):
             for key, text in zip(step.column("key").to_pylist(), step.column("text").to_pylist()):
-                text = normalised(text)
+                text = " " + text  # blanks become three bytes where a chunk is read
                 first = range(0, len(text), chunk)
                 rows = [[key] * len(first), list(range(len(first))), [min(s, lead) for s in first], [text[max(s - lead, 0) : s + chunk] for s in first]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, (pa.string(), pa.int32(), pa.int32(), pa.string()))], ["key", "n", "boundary", "text"])
 
+    def read(step: pa.RecordBatch) -> list[str]:
+        return [t.replace(" ", BLANK) for t in step.column("text").to_pylist()]
+
     def transfer(batches):
         encoder = Encoder(shared.value)
         for step in steps(batches):
-            found = [encoder.transfer(t, b).tobytes() for t, b in zip(step.column("text").to_pylist(), step.column("boundary").to_pylist())]
+            found = [encoder.transfer(t, b).tobytes() for t, b in zip(read(step), step.column("boundary").to_pylist())]
             yield pa.RecordBatch.from_arrays([step.column("key"), step.column("n"), pa.array(found, pa.binary())], ["key", "n", "matrix"])
 
     def forward(batches):
@@ -396,7 +400,7 @@ def encode(docs: DataFrame, model_path: str = MODEL, chunk: int = CHUNK) -> Data
     def enter(batches):
         encoder = Encoder(shared.value)
         for step in steps(batches):
-            rows = zip(*(step.column(c).to_pylist() for c in ("text", "boundary", "reach", "possible")))
+            rows = zip(read(step), *(step.column(c).to_pylist() for c in ("boundary", "reach", "possible")))
             found = [encoder.entries(t, b, np.frombuffer(r, float), p) for t, b, r, p in rows]
             yield pa.RecordBatch.from_arrays([step.column("key"), step.column("n"), pa.array(found, pa.list_(pa.int32()))], ["key", "n", "entries"])
 
@@ -408,11 +412,16 @@ def encode(docs: DataFrame, model_path: str = MODEL, chunk: int = CHUNK) -> Data
     def trace(batches):
         encoder = Encoder(shared.value)
         for step in steps(batches, limit=TOGETHER):
-            rows = zip(*(step.column(c).to_pylist() for c in ("text", "boundary", "reach", "leave")))
+            rows = zip(read(step), *(step.column(c).to_pylist() for c in ("boundary", "reach", "leave")))
             ends = [encoder.ends(t, b, np.frombuffer(r, float), x) for t, b, r, x in rows]
             inner = segmented(shared.value, [rest for _, _, rest, _ in ends])
-            ids = [np.concatenate([np.array(x, np.int32) for x in (before, ids, after)]) for (_, before, _, after), ids in zip(ends, inner)]
-            yield pa.RecordBatch.from_arrays([step.column("key"), step.column("n"), _lists(ids)], ["key", "n", "ids"])
+            ids = [np.concatenate([np.array(x, narrow) for x in (before, ids, after)]).tobytes() for (_, before, _, after), ids in zip(ends, inner)]
+            yield pa.RecordBatch.from_arrays([step.column("key"), step.column("n"), pa.array(ids, pa.binary())], ["key", "n", "ids"])
+
+    def widened(batches):
+        for batch in batches:
+            ids = [np.concatenate([np.frombuffer(x, narrow) for x in row]) for row in batch.column("ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), _lists(ids)], ["doc_id", "text", "ids"])
 
     n = parts(spark)
     giants = docs.where(long).withColumn("key", F.sha2("text", 256))
@@ -422,14 +431,15 @@ def encode(docs: DataFrame, model_path: str = MODEL, chunk: int = CHUNK) -> Data
     reached = by_text(chunks.mapInArrow(transfer, "key string, n int, matrix binary")).mapInArrow(forward, "key string, n int, reach binary, possible array<boolean>")
     entered = by_text(chunks.join(reached, ["key", "n"]).mapInArrow(enter, "key string, n int, entries array<int>"))
     left = entered.mapInArrow(backward, "key string, n int, leave int")
-    traced = chunks.join(reached, ["key", "n"]).join(left, ["key", "n"]).mapInArrow(trace, "key string, n int, ids array<int>")
-    whole = traced.groupBy("key").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("n", "ids"))), lambda x: x["ids"])).alias("ids"))
-    return docs.where(~long).mapInArrow(short, "doc_id long, text string, ids array<int>").union(giants.join(whole, "key").select("doc_id", "text", "ids"))
+    traced = chunks.join(reached, ["key", "n"]).join(left, ["key", "n"]).mapInArrow(trace, "key string, n int, ids binary")
+    whole = traced.groupBy("key").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "ids"))), lambda x: x["ids"]).alias("ids"))
+    of_giants = giants.join(whole, "key").select("doc_id", "text", "ids").mapInArrow(widened, "doc_id long, text string, ids array<int>")
+    return docs.where(~long).mapInArrow(short, "doc_id long, text string, ids array<int>").union(of_giants)
 
 
 def _lists(ids: list[np.ndarray]) -> pa.Array:
     at = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([np.zeros(0, np.int32), *ids]), pa.int32()))
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([np.zeros(0, np.int32), *ids]).astype(np.int32, copy=False), pa.int32()))
 
 
 def decode(encoded: DataFrame, model_path: str = MODEL) -> DataFrame:
