@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -146,6 +147,27 @@ def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int32)
 
 
+def _zstd(column: pa.Array) -> pa.Array:
+    pack = zstandard.ZstdCompressor(level=3).compress
+    return pa.array([pack((t or "").encode()) for t in column.to_pylist()], pa.binary())
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed one by one, as all of them are shuffled to meet the few that are compared."""
+    for step in steps(batches):
+        yield pa.RecordBatch.from_arrays([step.column("doc_id"), _zstd(step.column("text"))], ["doc_id", "text"])
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of compressed texts as steps of plain ones; few rows at a time, as sizes are known only afterwards."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    for batch in steps(batches):
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            text = pa.array([unpack(t).decode() for t in part.column("text").to_pylist()], pa.large_string())
+            yield from steps([part.set_column(part.schema.get_field_index("text"), "text", text)])
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, share: float = 1e-4) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for each row of ``docs(doc_id, text)``.
 
@@ -245,13 +267,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, share: fl
     holder = signatures.where("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
     nameless = docs.where("doc_id is null").select("doc_id", "text", F.lit(None).cast("long").alias("digest"))
     # A class of which no row has a doc_id is rare; its texts are looked up by their digest instead.
-    sourced = wanted.join(holder, "digest").join(docs, "doc_id").select("text", "digest", "places")
+    packed = docs.where("doc_id is not null").mapInArrow(_pack, "doc_id long, text binary")
+    sourced = wanted.join(holder, "digest").join(packed, "doc_id").select("text", "digest", "places")
     orphans = wanted.join(holder, "digest", "left_anti")
 
     cell_schema = "pivot long, i int, j int, fragment int, block int, digest long, n long, grams binary"
 
     def lay(batches):
-        for step in steps(batches):
+        for step in _unpacked(batches):
             s = Sets(step.column("text"), size, *frequent.value)
             rows: dict[str, list] = {k: [] for k in ("pivot", "i", "j", "fragment", "block", "digest", "n", "grams")}
             fragment = ((s.key >> np.uint64(56)) & np.uint64(FRAGMENTS - 1)).astype(np.int64)
@@ -334,7 +357,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, share: fl
         x, y = np.concatenate(a), np.concatenate(b)
         return pa.RecordBatch.from_arrays([pa.array(x[x != y]), pa.array(y[x != y])], ["a", "b"])
 
-    cells = sourced.repartition(n_parts, "digest").mapInArrow(lay, cell_schema)
+    cells = sourced.mapInArrow(lay, cell_schema)
     rest = _orphan_texts(nameless, size, frequent, orphans)
     if rest is not None:
         cells = cells.union(rest.mapInArrow(lay, cell_schema))
@@ -360,9 +383,9 @@ def _orphan_texts(nameless: DataFrame, size: int, frequent, orphans: DataFrame)
     def digest(batches):
         for step in steps(batches):
             s = Sets(step.column("text"), size, *frequent.value)
-            yield pa.RecordBatch.from_arrays([step.column("text"), pa.array(signed(s.digest))], ["text", "digest"])
+            yield pa.RecordBatch.from_arrays([_zstd(step.column("text")), pa.array(signed(s.digest))], ["text", "digest"])
 
-    texts = nameless.select("text").mapInArrow(digest, "text string, digest long").groupBy("digest").agg(F.min("text").alias("text"))
+    texts = nameless.select("text").mapInArrow(digest, "text binary, digest long").groupBy("digest").agg(F.min("text").alias("text"))
     return texts.join(orphans, "digest").select("text", "digest", "places")
 
 
