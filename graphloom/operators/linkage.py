@@ -44,7 +44,7 @@ TINY = 1e-9
 # Random pairs are drawn through at most this many buckets; beyond it each side is thinned instead.
 SAMPLE_BUCKETS = 4_096
 # A name with more records than this is spread over several tasks when links are written out.
-RECORDS_PER_TASK = 100_000
+RECORDS_PER_TASK = 2_000
 
 
 # --- standard form ---------------------------------------------------------------------------------
@@ -377,7 +377,11 @@ class Linkage:
         names_l, names_r = self._kept[:2]
         l = _salted_records(self.left, names_l, "l", self.most_l)
         r = _salted_records(self.right, names_r, "r", self.most_r)
-        return pairs.join(l, [DATE, "name_l", "_sl"]).join(r, [DATE, "name_r", "_sr"]).select("id_l", "id_r", "gamma_name")
+        # each side meets its own salt first, so the last join is keyed by the whole cell
+        cell = [DATE, "name_l", "name_r", "_sl", "_sr"]
+        left = pairs.join(l, [DATE, "name_l", "_sl"]).select(*cell, "gamma_name", "id_l")
+        right = pairs.join(r, [DATE, "name_r", "_sr"]).select(*cell, "id_r")
+        return left.join(right, cell).select("id_l", "id_r", "gamma_name")
 
     def coverage(self, links: DataFrame) -> DataFrame:
         """Links per 100 records of the left table."""
