@@ -187,6 +187,20 @@ def test_near_passages_and_cutting(spark):
     assert all(len(WORD.findall(kept[i].text)) == 140 and kept[i].n_chars == len(kept[i].text) for i in range(2, 9))
 
 
+def test_every_candidate_of_one_start_is_verified(spark):
+    """Each earlier document quotes the beginning of a passage and holds all of it before or after; the later one begins with it."""
+    rows, starts = [], range(0, 60, 2)
+    for i in starts:
+        passage = prose(1000 + i, 200).split()
+        held = [" ".join(passage[:60]), prose(2000 + i, 300), " ".join(passage)]
+        rows.append((i, " ".join(held if i % 4 else held[::-1])))
+        rows.append((i + 1, " ".join(passage) + " " + prose(3000 + i, 100)))
+    covered = {i + 1: np.zeros(300, bool) for i in starts}
+    for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        covered[r.doc_id][r.from_word : r.to_word + 1] = True
+    assert [i for i, c in covered.items() if not c[:200].all()] == []
+
+
 def test_passages_awkward(awkward, empty):
     assert {r.doc_id for r in passages.repeated_passages(awkward).collect()} == {2}
     cut = passages.cut_passages(awkward)
