@@ -201,6 +201,23 @@ def test_every_candidate_of_one_start_is_verified(spark):
     assert [i for i, c in covered.items() if not c[:200].all()] == []
 
 
+def test_passages_around_a_frequent_line(spark):
+    """Passages of which most is a line that stands in foreign contexts too, before, between and behind, over many partitions."""
+    line = prose(5000, 44)
+    around = lambda i: f"{prose(6000 + i, 8)} {line} {prose(7000 + i, 8)}"
+    first, second, foreign = range(100, 140), range(300, 340), [*range(20), *range(200, 240), *range(400, 420)]
+    texts = {i: f"{prose(10_000 + i, 60)} {prose(20_000 + i, 8)} {line} {prose(30_000 + i, 60)}" for i in foreign}
+    texts |= {i: f"{prose(10_000 + i, 60)} {around(i % 100)} {prose(30_000 + i, 60)}" for i in (*first, *second)}
+    docs = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")
+    for n in (1, 40):
+        covered = {i: np.zeros(180, bool) for i in second}
+        for r in passages.repeated_passages(docs.repartition(n, "doc_id")).collect():
+            assert r.of_doc_id < r.doc_id
+            if r.doc_id in covered and r.of_doc_id == r.doc_id - 200:
+                covered[r.doc_id][r.from_word : r.to_word + 1] = True
+        assert [i for i, c in covered.items() if not c[60:120].all()] == []
+
+
 def test_passages_awkward(awkward, empty):
     assert {r.doc_id for r in passages.repeated_passages(awkward).collect()} == {2}
     cut = passages.cut_passages(awkward)
