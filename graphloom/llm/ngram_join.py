@@ -67,11 +67,11 @@ class Sets:
         self.digest = mix((total[self.at[1:]] - total[self.at[:-1]]) ^ self.n.astype(np.uint64))
 
     def sketches(self) -> list[bytes]:
-        """For each text the n-grams of the first fragment, 32 bits of each."""
+        """For each text the different values of 32 bits of the n-grams of the first fragment; n-grams that share one count as not in it."""
         chosen = (self.key >> np.uint64(20) & np.uint64(15)) < SKETCH
         at = np.concatenate([[0], np.cumsum(chosen)])[self.at]
         narrow = (self.key[chosen] >> np.uint64(24)).astype(np.uint32)
-        return [narrow[a:b].tobytes() for a, b in zip(at[:-1], at[1:])]
+        return [np.unique(narrow[a:b]).tobytes() for a, b in zip(at[:-1], at[1:])]
 
     @staticmethod
     def _whole(hashes: np.ndarray) -> np.uint64:

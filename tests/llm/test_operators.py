@@ -427,6 +427,15 @@ def test_ngram_join_awkward(awkward, empty):
     assert ngram_join.near_duplicates(empty).count() == 0
 
 
+def test_sketches_of_long_texts_hold_different_values():
+    """Among some 187,000 n-grams some share their 32 bits; the overlap of two sketches counts these once."""
+    none = np.zeros(0, np.uint64)
+    sets = ngram_join.Sets(pa.array([" ".join(map(str, range(1_000_000)))]), 4, none, none)
+    sketch = np.frombuffer(sets.sketches()[0], np.uint32)
+    assert len(sketch) > 100_000 and len(np.unique(sketch)) == len(sketch)
+    assert ngram_join._overlaps([sketch], [sketch])[0, 0] == len(sketch)
+
+
 # 9
 
 
