@@ -144,6 +144,8 @@ def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
                 if own != header:
                     raise ValueError(f"{file} has the columns {own}, expected {header}")
                 for line in lines:
+                    if any(v is not None for v in line[width:]):
+                        raise ValueError(f"{file} has a row longer than its header of {width} columns")
                     held.append((line + [None] * width)[:width])
                     if len(held) == _BATCH_ROWS:
                         yield pa.record_batch([pa.array(c, pa.string()) for c in zip(*held)], schema=arrow)

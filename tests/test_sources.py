@@ -67,6 +67,14 @@ def test_workbook_folder(spark, tmp_path):
         X.read_xlsx(spark, str(tmp_path)).collect()
 
 
+def test_workbook_rows_longer_than_the_header(spark, tmp_path, monkeypatch):
+    real = X._row_xml
+    monkeypatch.setattr(X, "_row_xml", lambda values: real([*values, "more"] if list(values) != ["id"] else values))
+    X.write_xlsx(spark.range(0, 2, 1, 1).toDF("id"), str(tmp_path))
+    with pytest.raises(Exception, match="longer than its header"):
+        X.read_xlsx(spark, str(tmp_path)).collect()
+
+
 def test_conversion_replaces_or_reuses(spark, tmp_path):
     target = str(tmp_path / "out.csv")
     for k, reuse in ((1, False), (2, True), (3, False)):
