@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import imatch, language_id, line_cleaning, merkle, mixing, ngram_join, passages, sentencepiece_scan, token_counts, warc, weak_labels
+from graphloom.llm import hard_negatives, imatch, language_id, line_cleaning, merkle, mixing, ngram_join, passages, sentencepiece_scan, token_counts, warc, weak_labels
 from graphloom.llm.words import documents
 from graphloom.session import scratch_path
 
@@ -75,6 +75,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select(F.regexp_extract("file", "part-([0-9]+)", 1).cast("int").alias("file"), "doc_number", "n_tokens", "ended")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every fiftieth embedding among all embeddings."""
+    return hard_negatives.mine_embeddings(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaf, roots and proof of every document, and the root that its tampered copy folds to."""
     return merkle.tamper_audit(documents(spark, sf_dir))
@@ -82,7 +87,7 @@ def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_line_cleaning, op2_imatch, op3_passages, op4_mixing, op5_weak_labels, op6_warc, op7_language_id, op8_ngram_join, op9_sentencepiece, op10_token_counts, op13_merkle)
+    for f in (op1_line_cleaning, op2_imatch, op3_passages, op4_mixing, op5_weak_labels, op6_warc, op7_language_id, op8_ngram_join, op9_sentencepiece, op10_token_counts, op11_hard_negatives, op13_merkle)
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -104,4 +109,4 @@ SELECT d.doc_id, COALESCE(n.n, 0)::BIGINT AS n_shingles, c.component_id
 FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a, MIN(b) AS component_id FROM r GROUP BY a) c ON c.a = d.doc_id
 """
 
-ORACLE = {"op1_line_cleaning": line_cleaning.SQL, "op4_mixing": mixing.SQL, "op6_warc": warc.SQL, "op8_ngram_join": _NGRAM_SQL, "op13_merkle": merkle.SQL}
+ORACLE = {"op1_line_cleaning": line_cleaning.SQL, "op4_mixing": mixing.SQL, "op6_warc": warc.SQL, "op8_ngram_join": _NGRAM_SQL, "op11_hard_negatives": hard_negatives.SQL, "op13_merkle": merkle.SQL}
