@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import hard_negatives, imatch, language_id, line_cleaning, merkle, mixing, ngram_join, passages, sentencepiece_scan, token_counts, warc, weak_labels
+from graphloom.llm import chosen_path, hard_negatives, imatch, language_id, line_cleaning, merkle, mixing, ngram_join, passages, sentencepiece_scan, token_counts, warc, weak_labels
 from graphloom.llm.words import documents
 from graphloom.session import scratch_path
 
@@ -80,6 +80,11 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine_embeddings(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op12_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents by links of at least 85 % on three-word shingles, and who stays."""
+    return chosen_path.near_duplicates(documents(spark, sf_dir), size=3, percent=85)
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaf, roots and proof of every document, and the root that its tampered copy folds to."""
     return merkle.tamper_audit(documents(spark, sf_dir))
@@ -87,7 +92,7 @@ def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_line_cleaning, op2_imatch, op3_passages, op4_mixing, op5_weak_labels, op6_warc, op7_language_id, op8_ngram_join, op9_sentencepiece, op10_token_counts, op11_hard_negatives, op13_merkle)
+    for f in (op1_line_cleaning, op2_imatch, op3_passages, op4_mixing, op5_weak_labels, op6_warc, op7_language_id, op8_ngram_join, op9_sentencepiece, op10_token_counts, op11_hard_negatives, op12_chosen_path, op13_merkle)
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -109,4 +114,6 @@ SELECT d.doc_id, COALESCE(n.n, 0)::BIGINT AS n_shingles, c.component_id
 FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a, MIN(b) AS component_id FROM r GROUP BY a) c ON c.a = d.doc_id
 """
 
-ORACLE = {"op1_line_cleaning": line_cleaning.SQL, "op4_mixing": mixing.SQL, "op6_warc": warc.SQL, "op8_ngram_join": _NGRAM_SQL, "op11_hard_negatives": hard_negatives.SQL, "op13_merkle": merkle.SQL}
+_PATH_SQL = _NGRAM_SQL.replace("w[i:i + 3]", "w[i:i + 2]").replace("len(w) - 3", "len(w) - 2").replace("c.component_id\n", "c.component_id, d.doc_id IS NOT DISTINCT FROM c.component_id AS kept\n")
+
+ORACLE = {"op1_line_cleaning": line_cleaning.SQL, "op4_mixing": mixing.SQL, "op6_warc": warc.SQL, "op8_ngram_join": _NGRAM_SQL, "op11_hard_negatives": hard_negatives.SQL, "op12_chosen_path": _PATH_SQL, "op13_merkle": merkle.SQL}
