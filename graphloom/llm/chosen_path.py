@@ -5,7 +5,7 @@ minwise tokens. A tree branches its nodes: a node chooses ``BRANCHES`` coordinat
 members of a node that agree on the minwise token of a coordinate go on together into a child. As ``BRANCHES`` times the
 threshold is above one, a pair of similar sets keeps some common path however deep a tree grows, and a pair of unlike sets
 loses all. Nodes of up to ``SMALL`` members are compared exhaustively by their minwise tokens, larger ones compare
-with a pivot: who is near the pivot is tied to it and leaves, the others branch on. Trees are independent, and as many are
+with a few pivots: who is near one is tied to it and leaves, the others branch on. Trees are independent, and as many are
 grown as the target of recall needs (:func:`trees_for`). What is still large at ``DEPTH`` is compared exhaustively in cells.
 
 So far nothing is decided: pairs that may link only tie classes into groups. In a group all full sets are
@@ -37,11 +37,14 @@ from graphloom.session import scratch_path
 COORDINATES = 128
 BRANCHES = 2
 RECALL = 0.9999
-SMALL = 256
+#: Nodes are compared from this depth on; nodes above hold chance neighbours of one shared token.
+FIRST_DEPTH = 2
+SMALL = 1000
 DEPTH = 8
-#: Members this like a pivot leave the node; members at least this like it are tied to it. A set that links (at 0.8 or
-#: more) with one that left is at least 0.6 like the pivot; the lower figure leaves three deviations for the estimate.
-NEAR, TIED = 0.8, 0.45
+#: Members this like one of the pivots leave the node. Whoever links with one that left is at least ``NEAR`` less
+#: (1 - threshold) like that pivot, and members down to three deviations of the estimate below that are tied to it.
+NEAR = 0.7
+PIVOTS = 8
 #: Shingles of a group or block that one task compares.
 WEIGHT = 2_000_000
 PIVOT_ROUNDS = 3
@@ -213,41 +216,53 @@ def candidates(classes: DataFrame, percent: int) -> DataFrame:
     """``a, b``: ties of ``classes(digest, tokens)`` through which all sets that link are (to the target) connected."""
     spark = classes.sparkSession
     n_parts, n_trees = parts(spark), trees_for(percent / 100)
+    level = NEAR - (1 - percent / 100)  # how like a pivot a set is that links with one that left
+    tied_from = level - 3 * sqrt(level * (1 - level) / COORDINATES)
 
     def plant(batches):
         for batch in batches:
             tokens, digest = _tokens(batch.column("tokens")), batch.column("digest").to_numpy()
             for tree in range(n_trees):
-                nodes = _children(np.full(len(digest), (tree + 1) << 8, np.uint64), tokens)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(nodes.ravel())), pa.array(np.repeat(digest, BRANCHES))], ["node", "digest"])
+                nodes, own, named = np.full(len(digest), (tree + 1) << 8, np.uint64), tokens, digest
+                for _ in range(FIRST_DEPTH):
+                    nodes = _children(nodes, own).ravel()
+                    own, named = np.repeat(own, BRANCHES, axis=0), np.repeat(named, BRANCHES)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(nodes)), pa.array(named)], ["node", "digest"])
 
     def part_ways(batches):
-        """Members of a large node against its pivot: ties (kind 0), and children of those that stay (kind 1)."""
+        """Members of a large node against its pivots: ties (kind 0), and children of those that stay (kind 1)."""
         for batch in batches:
             if not batch.num_rows:
                 continue
-            tokens, digest, pivot = _tokens(batch.column("tokens")), batch.column("digest").to_numpy(), batch.column("pivot").to_numpy()
-            like = (tokens == _tokens(batch.column("pivot_tokens"))).mean(axis=1)
-            tied = np.flatnonzero((like >= TIED) & (digest != pivot))
-            stay = np.flatnonzero(like < NEAR)
+            tokens, digest = _tokens(batch.column("tokens")), batch.column("digest").to_numpy()
+            pivots, offsets = batch.column("pivots").flatten(), batch.column("pivots").offsets.to_numpy()
+            offsets = offsets - offsets[0]
+            owner = np.repeat(np.arange(len(digest)), np.diff(offsets))
+            against = pivots.field("digest").to_numpy()
+            like = (tokens[owner] == _tokens(pivots.field("tokens"))).mean(axis=1)
+            best = np.maximum.reduceat(like, offsets[:-1])
+            tied = np.flatnonzero((like >= tied_from) & (digest[owner] != against))
+            stay = np.flatnonzero(best < NEAR)
             nodes = _children(batch.column("node").to_numpy()[stay].astype(np.int64).view(np.uint64), tokens[stay])
             kind = np.repeat(np.array([0, 1], np.int32), [len(tied), nodes.size])
-            left = np.concatenate([digest[tied], signed(nodes.ravel())])
-            right = np.concatenate([pivot[tied], np.repeat(digest[stay], BRANCHES)])
+            left = np.concatenate([digest[owner[tied]], signed(nodes.ravel())])
+            right = np.concatenate([against[tied], np.repeat(digest[stay], BRANCHES)])
             yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(left), pa.array(right)], ["kind", "a", "b"])
 
     members = _written(classes.mapInArrow(plant, "node long, digest long"), "paths")
     ties: list[DataFrame] = []
-    for depth in range(1, DEPTH + 1):
-        sizes = members.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
-        placed = members.join(sizes, "node").groupBy("digest").agg(F.collect_list(F.struct("node", "size")).alias("places"))
-        placed = placed.join(classes, "digest").select("digest", "tokens", F.inline("places"))
-        placed = _written(placed.repartition(n_parts, "node", F.when(F.col("size") > SMALL, F.pmod("digest", F.lit(1024)))), "nodes")
-        small = placed.where(F.col("size") <= SMALL).repartition(n_parts, "node").sortWithinPartitions("node")
+    for depth in range(FIRST_DEPTH, DEPTH + 1):
+        sizes = members.groupBy("node").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("digest")).alias("all"), F.min("digest").alias("low"))
+        sizes = _written(sizes.where("size > 1"), "sizes")
+        # Small nodes of the same members need one comparison; most near copies share many nodes.
+        once = sizes.where(F.col("size") <= SMALL).groupBy("size", "all", "low").agg(F.min("node").alias("node")).select("node")
+        small = members.join(once, "node").join(classes, "digest").select("node", "digest", "tokens")
+        small = small.repartition(n_parts, "node").sortWithinPartitions("node")
         ties.append(_written(small.mapInArrow(_compare(percent, ["node"]), "a long, b long"), "ties"))
-        large = placed.where(F.col("size") > SMALL)
+        large = sizes.where(F.col("size") > SMALL).select("node", "size")
         if large.isEmpty():
             break
+        large = _written(members.join(large, "node").join(classes, "digest").select("node", "size", "digest", "tokens"), "large")
         if depth == DEPTH:
             blocks = F.ceil(F.col("size") / (SMALL // 2)).cast("int")
             cells = large.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("digest"), "blocks").cast("int"))
@@ -256,8 +271,9 @@ def candidates(classes: DataFrame, percent: int) -> DataFrame:
             cells = cells.repartition(n_parts, "node", "i", "j").sortWithinPartitions("node", "i", "j")
             ties.append(_written(cells.mapInArrow(_compare(percent, ["node", "i", "j"]), "a long, b long"), "ties"))
             break
-        pivots = large.groupBy("node").agg(F.min_by(F.struct("digest", "tokens"), F.xxhash64("digest")).alias("p"))
-        met = large.join(pivots, "node").select("node", "digest", "tokens", F.col("p.digest").alias("pivot"), F.col("p.tokens").alias("pivot_tokens"))
+        pivots = large.groupBy("node", F.pmod(F.xxhash64("digest"), F.lit(PIVOTS)).alias("of")).agg(F.min_by(F.struct("digest", "tokens"), F.xxhash64("digest", F.lit(1))).alias("p"))
+        pivots = pivots.groupBy("node").agg(F.collect_list("p").alias("pivots")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        met = large.withColumn("salt", F.pmod("digest", F.lit(SALTS))).join(pivots, ["node", "salt"]).select("node", "digest", "tokens", "pivots")
         met = _written(met.mapInArrow(part_ways, "kind int, a long, b long"), "met")
         ties.append(met.where("kind = 0").select("a", "b"))
         members = met.where("kind = 1").select(F.col("a").alias("node"), F.col("b").alias("digest"))
@@ -294,9 +310,8 @@ def _linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
         hit = owners[np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum())]
         shared = np.bincount(hit, minlength=len(sets))
         union = n + n[x] - shared
-        for y in np.flatnonzero(100 * shared >= percent * union).tolist():
-            if label[y] != label[x]:
-                label[label == max(label[x], label[y])] = min(label[x], label[y])
+        joint = np.unique(label[100 * shared >= percent * union])
+        label[np.isin(label, joint)] = joint[0]
         known = [*known[-15:], 1 - shared / union]
     return label
 
