@@ -247,7 +247,8 @@ def candidates(classes: DataFrame, percent: int) -> DataFrame:
             kind = np.repeat(np.array([0, 1], np.int32), [len(tied), nodes.size])
             left = np.concatenate([digest[owner[tied]], signed(nodes.ravel())])
             right = np.concatenate([against[tied], np.repeat(digest[stay], BRANCHES)])
-            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(left), pa.array(right)], ["kind", "a", "b"])
+            own = pa.concat_arrays([pa.nulls(len(tied), pa.binary()), batch.column("tokens").take(pa.array(np.repeat(stay, BRANCHES)))])
+            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(left), pa.array(right), own], ["kind", "a", "b", "tokens"])
 
     members = _written(classes.mapInArrow(plant, "node long, digest long"), "paths")
     ties: list[DataFrame] = []
@@ -255,14 +256,14 @@ def candidates(classes: DataFrame, percent: int) -> DataFrame:
         sizes = members.groupBy("node").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("digest")).alias("all"), F.min("digest").alias("low"))
         sizes = _written(sizes.where("size > 1"), "sizes")
         # Small nodes of the same members need one comparison; most near copies share many nodes.
-        once = sizes.where(F.col("size") <= SMALL).groupBy("size", "all", "low").agg(F.min("node").alias("node")).select("node")
-        small = members.join(once, "node").join(classes, "digest").select("node", "digest", "tokens")
-        small = small.repartition(n_parts, "node").sortWithinPartitions("node")
+        once = sizes.where(F.col("size") <= SMALL).groupBy("size", "all", "low").agg(F.min("node").alias("node")).select("node", "size")
+        chosen = members.join(once.union(sizes.where(F.col("size") > SMALL).select("node", "size")), "node")
+        placed = _written(chosen.join(classes, "digest") if depth == FIRST_DEPTH else chosen, "nodes").select("node", "size", "digest", "tokens")
+        small = placed.where(F.col("size") <= SMALL).select("node", "digest", "tokens").repartition(n_parts, "node").sortWithinPartitions("node")
         ties.append(_written(small.mapInArrow(_compare(percent, ["node"]), "a long, b long"), "ties"))
-        large = sizes.where(F.col("size") > SMALL).select("node", "size")
+        large = placed.where(F.col("size") > SMALL)
         if large.isEmpty():
             break
-        large = _written(members.join(large, "node").join(classes, "digest").select("node", "size", "digest", "tokens"), "large")
         if depth == DEPTH:
             blocks = F.ceil(F.col("size") / (SMALL // 2)).cast("int")
             cells = large.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("digest"), "blocks").cast("int"))
@@ -274,9 +275,9 @@ def candidates(classes: DataFrame, percent: int) -> DataFrame:
         pivots = large.groupBy("node", F.pmod(F.xxhash64("digest"), F.lit(PIVOTS)).alias("of")).agg(F.min_by(F.struct("digest", "tokens"), F.xxhash64("digest", F.lit(1))).alias("p"))
         pivots = pivots.groupBy("node").agg(F.collect_list("p").alias("pivots")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
         met = large.withColumn("salt", F.pmod("digest", F.lit(SALTS))).join(pivots, ["node", "salt"]).select("node", "digest", "tokens", "pivots")
-        met = _written(met.mapInArrow(part_ways, "kind int, a long, b long"), "met")
+        met = _written(met.mapInArrow(part_ways, "kind int, a long, b long, tokens binary"), "met")
         ties.append(met.where("kind = 0").select("a", "b"))
-        members = met.where("kind = 1").select(F.col("a").alias("node"), F.col("b").alias("digest"))
+        members = met.where("kind = 1").select(F.col("a").alias("node"), F.col("b").alias("digest"), "tokens")
     out = ties[0]
     for more in ties[1:]:
         out = out.union(more)
