@@ -18,7 +18,7 @@ from graphloom.llm.words import Words, mix, shingles
 from graphloom.session import scratch_path
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-TABLES = ("documents", "pages")
+TABLES = ("documents", "pages", "embeddings")
 
 
 def prose(seed: int, n: int) -> str:
