@@ -41,8 +41,6 @@ from graphloom.sources.tables import require_columns
 ID, NAME, DATE = "unique_id", "nom_comparaison", "date_comparaison"
 STANDARD = (ID, NAME, DATE)
 TINY = 1e-9
-# Random pairs are drawn through at most this many buckets; beyond it each side is thinned instead.
-SAMPLE_BUCKETS = 4_096
 # A name with more records than this is spread over several tasks when links are written out.
 RECORDS_PER_TASK = 2_000
 
@@ -169,7 +167,7 @@ class LinkageConfig:
     match_probability: float = 0.85
     prior: float = 1e-4
     m_equal: float = 0.95
-    max_pairs: float | None = 1e5  # None: every cross pair counts towards u
+    pairs_per_record: int | None = 1_000  # random partners of a record that count towards u; None: every cross pair
     seed: int = 42
     tolerance: float = 1e-4
     max_iterations: int = 25
@@ -228,26 +226,38 @@ def expectation_maximisation(
     return dict(m), prior, step
 
 
-def sampled_level_counts(left: DataFrame, right: DataFrame, n_l: int, n_r: int, config: LinkageConfig) -> dict[int, float]:
-    """Name levels of about ``max_pairs`` random cross pairs.
+def equal_pairs(left: DataFrame, right: DataFrame, column: str) -> float:
+    """Cross pairs with equal values: a join of counts, one row per value, so a hot value costs nothing."""
+
+    def counts(df: DataFrame, n: str) -> DataFrame:
+        return df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias(n))
+
+    found = counts(left, "n_l").join(counts(right, "n_r"), column).agg(F.sum(_wide("n_l") * _wide("n_r"))).first()[0]
+    return float(found or 0)
+
 
-    Every record falls into a bucket by a seeded digest of its id; records of one bucket are paired. With
-    ``n_l * n_r / max_pairs`` buckets each pair is equally likely and the total is as wanted. It is an
-    equi-join on an even key, and both tables take part whole until the bucket count reaches its limit;
-    from there on both sides are thinned by the same digest.
+def bucketed(df: DataFrame, id_column: str, n_l: int, n_r: int, per_record: int, seed: int) -> DataFrame:
+    """``df`` with a ``_bucket`` by a seeded digest of its id: the larger table puts ``per_record`` records into each.
+
+    Buckets grow with the tables, so a record meets as many random partners at any size, every record takes part, and
+    the work is proportional to the records. Each cross pair is equally likely.
     """
-    total = float(n_l) * float(n_r)
-    buckets = int(min(max(math.ceil(total / config.max_pairs), 1), SAMPLE_BUCKETS))
-    share = min(1.0, math.sqrt(config.max_pairs * buckets / total)) if total else 1.0
+    buckets = max(math.ceil(max(n_l, n_r) / per_record), 1)
+    return df.withColumn("_bucket", F.pmod(digest_number(seeded_digest(seed, F.col(id_column))), F.lit(buckets)))
+
 
-    def side(df: DataFrame) -> DataFrame:
-        digest = seeded_digest(config.seed, F.col(ID))
-        if share < 1.0:
-            df = df.where(digest_number(digest, 9) < F.lit(int(share * 16**8)))
-        bucketed = df.withColumn("_bucket", F.pmod(digest_number(digest), F.lit(buckets)))
-        return distinct_names(bucketed, ["_bucket"], NAME)
+def sampled_level_counts(left: DataFrame, right: DataFrame, n_l: int, n_r: int, config: LinkageConfig) -> dict[int, float]:
+    """Cross pairs per name level: equal names counted, the lower levels estimated.
 
-    return _level_counts(side(left), side(right), ["_bucket"], config)
+    The rest that equal names leave is divided among the lower levels as in the pairs of equal random buckets.
+    """
+    everything = float(n_l) * float(n_r)
+    top = config.name_levels[0]
+    sides = (bucketed(df, ID, n_l, n_r, config.pairs_per_record, config.seed) for df in (left, right))
+    sample = _level_counts(*(distinct_names(df, ["_bucket"], NAME) for df in sides), ["_bucket"], config)
+    equal = equal_pairs(left, right, NAME)
+    unlike = sum(v for k, v in sample.items() if k != top)
+    return {k: equal if k == top else (everything - equal) * v / unlike if unlike else 0.0 for k, v in sample.items()}
 
 
 def _level_counts(names_l: DataFrame, names_r: DataFrame, block: list[str], config: LinkageConfig) -> dict[int, float]:
@@ -322,7 +332,7 @@ class Linkage:
 
     @staticmethod
     def _name_u(left: DataFrame, right: DataFrame, n_l: int, n_r: int, config: LinkageConfig) -> dict[int, float]:
-        if config.max_pairs is None:
+        if config.pairs_per_record is None:
             one = F.lit(0).alias("_all")
             whole = [distinct_names(df.select("*", one), ["_all"], NAME).persist() for df in (left, right)]
             counts = _level_counts(*whole, ["_all"], config)
@@ -437,6 +447,7 @@ def train(counts: Mapping[int, float], u: Mapping[str, Mapping[int, float]], pri
 
 # --- output ----------------------------------------------------------------------------------------
 
+# The entity IRIs of the published mapping.
 LINK_SUBJECT = "http://kg.projet.fr/ontology#Employee_$(id_r)"
 LINK_OBJECT = "http://kg.projet.fr/ontology#Customer_$(id_l)"
 

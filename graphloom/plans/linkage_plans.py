@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.functions.text import normalize_name, joined_name, lenient_date, strict_date
+from graphloom.operators import fellegi_sunter as general
 from graphloom.operators.evaluate import rates
 from graphloom.operators.linkage import (
     Linkage,
@@ -19,7 +21,7 @@ from graphloom.operators.linkage import (
 from graphloom.plans.people import SQL_SOURCES, sources, standardized, truth
 
 CONFIG = LinkageConfig()
-EXACT = LinkageConfig(max_pairs=None)
+EXACT = LinkageConfig(pairs_per_record=None)
 
 
 def fitted(spark: SparkSession, sf_dir: str, config: LinkageConfig = CONFIG, prior=None) -> Linkage:
@@ -113,6 +115,43 @@ def _metrics(spark, d):
     return rates(score_links(fitted(spark, d).links(), truth(spark, d)), digits=6)
 
 
+#: Names, dates and where a record comes from (unknown for some), blocked on the date and on the name.
+TWO_RULES = general.Settings(
+    comparisons=(general.similarity("name", "name"), general.equality("date", "date"), general.equality("origin", "origin")),
+    rules=(("date",), ("name",)),
+)
+
+
+def persons(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Both person tables with the origin of their records, which every seventh person lacks."""
+    a, b = sources(spark, sf_dir)
+    origin = F.when(F.col("pid") % 7 != 0, F.col("src")).alias("origin")
+    left = a.select(F.col("ID_Client").alias("unique_id"), normalize_name(F.col("nom_complet")).alias("name"), strict_date(F.col("dt_naissance")).alias("date"), origin)
+    full = normalize_name(joined_name(F.col("Prenom"), F.col("Nom_Famille")))
+    return left, b.select(F.col("Matricule_RH").alias("unique_id"), full.alias("name"), lenient_date(F.col("date_nais")).alias("date"), origin)
+
+
+def _model_two_rules(spark, d):
+    model, _ = general.fit(*persons(spark, d), TWO_RULES)
+    rows = [(c.name, k, model.m[c.name][k], model.u[c.name][k]) for c in TWO_RULES.comparisons for k in range(c.levels)]
+    frame = spark.createDataFrame(rows, "comparison string, level int, m double, u double")
+    return frame.withColumns({"m": F.round("m", 6), "u": F.round("u", 9)})
+
+
+def _runs_two_rules(spark, d):
+    model, _ = general.fit(*persons(spark, d), TWO_RULES)
+    return spark.createDataFrame([*model.runs], "rule int, iterations int, share double").withColumn("share", F.round("share", 6))
+
+
+def _patterns_two_rules(spark, d):
+    return general.pattern_table(general.candidate_pairs(*persons(spark, d), TWO_RULES), TWO_RULES)
+
+
+def _scored_two_rules(spark, d):
+    model, pairs = general.fit(*persons(spark, d), TWO_RULES)
+    return general.scored(pairs, model).withColumns({"match_weight": F.round("match_weight", 6), "match_probability": F.round("match_probability", 6)})
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Identity links as triples. The prior follows the table sizes, so that small tables give links too."""
     linkage = fitted(spark, sf_dir, CONFIG, prior=lambda n_l, n_r: 1.0 / max(n_l, n_r, 2))
@@ -138,6 +177,10 @@ QUERIES = {
     "sameas_links": _sameas,
     "link_coverage": _coverage,
     "link_metrics": _metrics,
+    "pattern_counts_two_rules": _patterns_two_rules,
+    "m_probabilities_two_rules": _model_two_rules,
+    "training_two_rules": _runs_two_rules,
+    "scored_pairs_two_rules": _scored_two_rules,
 }
 
 _LEVEL = """CASE WHEN {a} = {b} THEN 3 WHEN jaro_winkler_similarity({a}, {b}) >= 0.9 THEN 2
@@ -153,7 +196,7 @@ sizes AS (SELECT (SELECT count(*) FROM std_a) AS nl, (SELECT count(*) FROM std_b
 in_block AS (SELECT l.g, count(c.g) AS pairs FROM (VALUES (0), (1), (2), (3)) l(g) LEFT JOIN candidates c ON c.g = l.g GROUP BY l.g)
 """
 
-_BUCKET = "('0x' || substr(md5('42|' || {t}.unique_id), 1, 8))::BIGINT % (SELECT CAST(least(greatest(ceil(nl * nr / 1e5), 1), 4096) AS BIGINT) FROM sizes)"
+_BUCKET = "('0x' || substr(md5('42|' || {t}.unique_id), 1, 8))::BIGINT % (SELECT CAST(greatest(ceil(greatest(nl, nr) / 1e3), 1) AS BIGINT) FROM sizes)"
 _SAMPLED = f"""
 cross_levels AS (
   SELECT {_NAMES} AS g FROM std_a a JOIN std_b b ON {_BUCKET.format(t='a')} = {_BUCKET.format(t='b')}
@@ -163,9 +206,14 @@ _EVERY = f"""
 cross_levels AS (SELECT {_NAMES} AS g FROM std_a a, std_b b)
 """
 _U = """
+equal AS (
+  SELECT coalesce(sum(n * m), 0)::DOUBLE / (SELECT nl * nr FROM sizes) AS u
+  FROM (SELECT nom_comparaison, count(*) AS n FROM std_a GROUP BY 1) JOIN (SELECT nom_comparaison, count(*) AS m FROM std_b GROUP BY 1) USING (nom_comparaison)
+),
 u AS (
-  SELECT l.g, least(greatest(count(c.g)::DOUBLE / (SELECT count(*) FROM cross_levels), 1e-9), 1 - 1e-9) AS u
-  FROM (VALUES (0), (1), (2), (3)) l(g) LEFT JOIN cross_levels c ON c.g = l.g GROUP BY l.g
+  SELECT l.g, least(greatest(CASE WHEN l.g = 3 THEN any_value(equal.u)
+    ELSE (1 - any_value(equal.u)) * count(c.g)::DOUBLE / (SELECT count(*) FROM cross_levels WHERE g < 3) END, 1e-9), 1 - 1e-9) AS u
+  FROM (VALUES (0), (1), (2), (3)) l(g) CROSS JOIN equal LEFT JOIN cross_levels c ON c.g = l.g GROUP BY l.g
 ),
 ud AS (SELECT (SELECT sum(pairs) FROM in_block)::DOUBLE / (nl * nr) AS u FROM sizes)
 """
@@ -270,3 +318,71 @@ ORACLE = {
               ON l.id_l = t.id_l AND l.id_r = t.id_r))"""
     ),
 }
+
+_ORIGIN = "CASE WHEN a.origin IS NULL OR b.origin IS NULL THEN -1 WHEN a.origin = b.origin THEN 1 ELSE 0 END"
+_THREE = f"""{_LEVEL.format(a="a.name", b="b.name")} AS gn, CASE WHEN a.date = b.date THEN 1 ELSE 0 END AS gd, {_ORIGIN} AS go"""
+_DRAWN = "('0x' || substr(md5('42|' || {t}.unique_id), 1, 8))::BIGINT % (SELECT CAST(greatest(ceil(greatest(nl, nr) / 3e2), 1) AS BIGINT) FROM n)"
+
+
+def _em_sql(name: str, patterns: str, levels: dict[str, int], odds: str) -> str:
+    """A recursive table ``name``: one row per iteration, a column ``<comparison><level>`` for each m, and ``lam``."""
+    every = [(c, k) for c, n in levels.items() for k in range(n)]
+    start = ", ".join(f"{'0.95e0' if k == levels[c] - 1 else f'0.05e0 / {levels[c] - 1}'} AS {c}{k}" for c, k in every)
+    pick = {c: "CASE g" + c + " " + " ".join(f"WHEN {k} THEN {c}{k}" for k in range(n)) + " ELSE 1 END" for c, n in levels.items()}
+    yes = " * ".join(pick.values())
+    kept = ", ".join(f"any_value({c}{k}) AS {c}{k}" for c, k in every)
+    sums = ", ".join(f"coalesce(sum(x) FILTER (g{c} = {k}), 0) / sum(x) FILTER (g{c} >= 0) AS new_{c}{k}" for c, k in every)
+    clamp = "least(greatest({}, 1e-9), 1 - 1e-9)".format
+    news = ", ".join(clamp(f"new_{c}{k}") for c, k in every)
+    change = ", ".join(f"abs({clamp(f'new_{c}{k}')} - {c}{k})" for c, k in every)
+    return f"""
+{name} AS (
+  SELECT 0 AS it, 1e0 AS delta, ({odds}) / (1 + ({odds})) AS lam, {start}
+  UNION ALL
+  SELECT it + 1, greatest(abs({clamp('new_lam')} - lam), {change}), {clamp('new_lam')}, {news}
+  FROM (SELECT it, any_value(lam) AS lam, sum(x) / sum(pairs) AS new_lam, {kept}, {sums}
+        FROM (SELECT *, pairs * lam * {yes} / (lam * {yes} + (1 - lam) * uu) AS x FROM {name}, {patterns} WHERE it < 25 AND delta >= 1e-4) GROUP BY it)
+),
+{name}_end AS (SELECT * FROM {name} ORDER BY it DESC LIMIT 1)"""
+
+
+def two_rules_sql(select: str) -> str:
+    u_rows = " UNION ALL ".join(
+        f"SELECT '{c}' AS c, l AS k, least(greatest((count(*) FILTER (g{c[0]} = l))::DOUBLE / (count(*) FILTER (g{c[0]} >= 0)), 1e-9), 1 - 1e-9) AS u FROM drawn, range(0, {n}) t(l) GROUP BY l"
+        for c, n in (("name", 4), ("date", 2), ("origin", 2))
+    )
+    look = lambda c, g: f"coalesce((SELECT u FROM u WHERE c = '{c}' AND k = {g}), 1)"
+    odds = lambda c, top: f"SELECT 1e-4 / (1 - 1e-4) * 0.95e0 / u FROM u WHERE c = '{c}' AND k = {top}"
+    m_rows = " UNION ALL ".join(
+        [f"SELECT 'name' AS c, {k} AS k, n{k} AS m FROM by_date_end" for k in range(4)] + [f"SELECT 'date', {k}, d{k} FROM by_name_end" for k in range(2)]
+        + [f"SELECT 'origin', {k}, (a.o{k} + b.o{k}) / 2 FROM by_date_end a, by_name_end b" for k in range(2)]
+    )
+    return f"""WITH RECURSIVE {SQL_SOURCES.strip()},
+per_a AS (SELECT ID_Client AS unique_id, trim(lower(nom_complet)) AS name, strftime(strptime(dt_naissance, '%d/%m/%Y'), '%Y-%m-%d') AS date, CASE WHEN pid % 7 <> 0 THEN src END AS origin FROM src_a),
+per_b AS (SELECT Matricule_RH AS unique_id, trim(lower(coalesce(Prenom, '') || ' ' || coalesce(Nom_Famille, ''))) AS name, date_nais AS date, CASE WHEN pid % 7 <> 0 THEN src END AS origin FROM src_b),
+n AS (SELECT (SELECT count(*) FROM per_a) AS nl, (SELECT count(*) FROM per_b) AS nr),
+drawn AS (SELECT {_THREE} FROM per_a a JOIN per_b b ON {_DRAWN.format(t='a')} = {_DRAWN.format(t='b')}),
+u AS ({u_rows}),
+pairs AS (SELECT a.unique_id AS id_l, b.unique_id AS id_r, {_THREE}, a.date = b.date AS hit_0, a.name = b.name AS hit_1 FROM per_a a JOIN per_b b ON a.date = b.date OR a.name = b.name),
+on_date AS (SELECT *, {look('name', 'gn')} * {look('origin', 'go')} AS uu FROM (SELECT gn, go, count(*) AS pairs FROM pairs WHERE hit_0 GROUP BY gn, go)),
+on_name AS (SELECT *, {look('date', 'gd')} * {look('origin', 'go')} AS uu FROM (SELECT gd, go, count(*) AS pairs FROM pairs WHERE hit_1 GROUP BY gd, go)),
+{_em_sql('by_date', 'on_date', {'n': 4, 'o': 2}, odds('date', 1)).strip()},
+{_em_sql('by_name', 'on_name', {'d': 2, 'o': 2}, odds('name', 3)).strip()},
+m AS ({m_rows}),
+bits AS (SELECT c, k, log2(m / u) AS w FROM m JOIN u USING (c, k)),
+weighed AS (
+  SELECT id_l, id_r, gn, gd, go, log2(1e-4 / (1 - 1e-4)) + x.w + y.w + coalesce(z.w, 0) AS w
+  FROM pairs JOIN bits x ON x.c = 'name' AND x.k = gn JOIN bits y ON y.c = 'date' AND y.k = gd LEFT JOIN bits z ON z.c = 'origin' AND z.k = go
+)
+{select}"""
+
+
+ORACLE |= {
+    "pattern_counts_two_rules": two_rules_sql("SELECT gn AS gamma_name, gd AS gamma_date, go AS gamma_origin, hit_0, hit_1, count(*) AS pairs FROM pairs GROUP BY ALL"),
+    "m_probabilities_two_rules": two_rules_sql("SELECT c AS comparison, k::INTEGER AS level, round(m, 6) AS m, round(u, 9) AS u FROM m JOIN u USING (c, k)"),
+    "training_two_rules": two_rules_sql("SELECT 0 AS rule, it AS iterations, round(lam, 6) AS share FROM by_date_end UNION ALL SELECT 1, it, round(lam, 6) FROM by_name_end"),
+    "scored_pairs_two_rules": two_rules_sql(
+        """SELECT id_l, id_r, gn AS gamma_name, gd AS gamma_date, go AS gamma_origin, round(w, 6) AS match_weight, round(1 / (1 + pow(2, -w)), 6) AS match_probability
+        FROM weighed WHERE 1 / (1 + pow(2, -w)) >= 0.85"""
+    ),
+}
