@@ -15,6 +15,12 @@ from graphloom.functions.text import ratio, seeded_digest
 QUANTILES = {"p05": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95}
 # The quantile sketch is off by at most one rank in this many rows.
 QUANTILE_ACCURACY = 10_000
+# A coarser sketch is enough to bracket an exact quantile, and takes half the time.
+SELECT_ACCURACY = 1_000
+# Values that one aggregate may gather to find an order statistic among them.
+BOUNDED = 5_000
+# Leading hex digits of a digest by which samples are cut before anything is ordered.
+PREFIX = 3
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -30,60 +36,95 @@ def _rows_per_column(aggregated: DataFrame, columns: Sequence[str], fields: dict
     return aggregated.select(F.inline(F.array(*rows)))
 
 
-def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], accuracy: int = QUANTILE_ACCURACY) -> DataFrame:
-    """``column, q, value``: the smallest value that at least ``q`` of the column's values do not exceed.
+class _Search:
+    """One order statistic: an open interval that holds it, and how many values lie below the interval."""
 
-    A sketch first brackets every quantile between two values. One scan then counts what lies below each
-    bracket, another the values inside it: a share of about ``6 / accuracy`` of the rows, the only part
-    that is ordered.
+    def __init__(self, column: str, q: float, n: int):
+        self.column, self.q, self.n = column, q, n
+        self.rank = max(math.ceil(q * n), 1)
+        self.low = self.high = None  # not included; None: no end
+        self.below, self.inside = 0, n
+        self.value: float | None = None
+
+    def within(self, c: Column) -> Column:
+        out = c.isNotNull()
+        if self.low is not None:
+            out = out & (c > F.lit(self.low))
+        return out if self.high is None else out & (c < F.lit(self.high))
+
+    def ends(self, margin: float) -> list[float]:
+        at = (self.rank - self.below) / self.inside
+        return [max(at - margin, 0.0), min(at + margin, 1.0)]
+
+    def narrow(self, low: float, high: float, counts: Sequence[int]) -> None:
+        """``counts``: values below ``low``, up to it, below ``high``, up to it."""
+        edges = [(None, self.low), (counts[0], low), (counts[1], low), (counts[2], high), (counts[3], high)]
+        if counts[0] < self.rank <= counts[1]:
+            self.value = low
+        elif counts[2] < self.rank <= counts[3]:
+            self.value = high
+        elif self.rank <= counts[0]:
+            self.high, self.inside = edges[1][1], counts[0] - self.below
+        elif self.rank <= counts[2]:
+            self.low, self.high, self.below, self.inside = low, high, counts[1], counts[2] - counts[1]
+        else:
+            self.low, self.inside, self.below = high, self.below + self.inside - counts[3], counts[3]
+
+
+def _sketch(c: Column, ends: Sequence[float], accuracy: int) -> Column:
+    return F.percentile_approx(c, F.array(*map(F.lit, ends)), F.lit(accuracy))
+
+
+def _select(df: DataFrame, searches: list[_Search], accuracy: int, brackets: dict | None = None) -> None:
+    """Give each search its value. Nothing is sorted or shuffled but counters, and at most ``BOUNDED`` values a search.
+
+    A round narrows every open interval to what lies between two values of a sketch, a share of about
+    ``6 / accuracy`` of its rows, by counting; both ends are excluded or found, so a round always gains.
+    When few values are left inside, they are put in order by the aggregate that gathers them.
     """
-    columns, probabilities = list(columns), list(probabilities)
-    value = {c: F.col(c).cast("double") for c in columns}
-    margin, brackets, ranks, below = 3.0 / accuracy, {}, {}, {}
-    open_ends = [(c, q) for c in columns for q in probabilities]
-    while open_ends:
-        # one sketch per column answers both ends of all its brackets
-        ends = {c: [p for x, q in open_ends if x == c for p in (max(q - margin, 0.0), min(q + margin, 1.0))] for c in columns}
-        sketches = [F.percentile_approx(value[c], F.array(*map(F.lit, ends[c])), F.lit(accuracy)).alias(f"e{c}") for c in columns if ends[c]]
-        found = df.agg(*sketches, *[F.count(value[c]).alias(f"n{c}") for c in columns]).first()
-        open_ends = [(c, q) for c, q in open_ends if found[f"n{c}"]]
-        if not open_ends:
+    value = lambda s: F.col(s.column).cast("double")
+    margin = 3.0 / accuracy
+    while True:
+        wide = [s for s in searches if s.value is None and s.inside > BOUNDED]
+        if not wide:
             break
-        for c in columns:
-            own = [q for x, q in open_ends if x == c]
-            brackets |= {(c, q): tuple(found[f"e{c}"][2 * i : 2 * i + 2]) for i, q in enumerate(own)}
+        if brackets is None:
+            found = df.agg(*[_sketch(F.when(s.within(value(s)), value(s)), s.ends(margin), accuracy).alias(f"e{i}") for i, s in enumerate(wide)]).first()
+            brackets = {(s.column, s.q): found[f"e{i}"] for i, s in enumerate(wide)}
         counts = df.agg(
-            *[F.count_if(value[c] < brackets[c, q][0]).alias(f"b{i}") for i, (c, q) in enumerate(open_ends)],
-            *[F.count_if(value[c] <= brackets[c, q][1]).alias(f"t{i}") for i, (c, q) in enumerate(open_ends)],
+            *[F.count_if(test).alias(f"c{i}_{k}") for i, s in enumerate(wide) for lo, hi in [brackets[s.column, s.q]]
+              for k, test in enumerate((value(s) < lo, value(s) <= lo, value(s) < hi, value(s) <= hi))]
         ).first()
-        missed = []
-        for i, (c, q) in enumerate(open_ends):
-            ranks[c, q], below[c, q] = max(math.ceil(q * found[f"n{c}"]), 1), counts[f"b{i}"]
-            if not below[c, q] < ranks[c, q] <= counts[f"t{i}"]:
-                missed.append((c, q))
-        open_ends, margin = missed, margin * 10
-    if not brackets:
-        return df.sparkSession.createDataFrame([], "column string, q double, value double")
-    cells = [
-        F.when(value[c].between(lo, hi), F.struct(
-            F.lit(c).alias("column"), F.lit(q).alias("q"), value[c].alias("value"),
-            F.lit(below[c, q]).alias("_below"), F.lit(ranks[c, q]).alias("_rank")))
-        for (c, q), (lo, hi) in brackets.items()
-    ]
-    inside = df.select(F.inline(F.array_compact(F.array(*cells)))).groupBy("column", "q", "value", "_below", "_rank").agg(F.count(F.lit(1)).alias("n"))
-    running = F.sum("n").over(Window.partitionBy("column", "q").orderBy("value")) + F.col("_below")
-    return inside.withColumn("_to", running).where(F.col("_to") >= F.col("_rank")).groupBy("column", "q").agg(F.min("value").alias("value"))
+        for i, s in enumerate(wide):
+            s.narrow(*brackets[s.column, s.q], [counts[f"c{i}_{k}"] for k in range(4)])
+        brackets = None
+    few = [s for s in searches if s.value is None]
+    if few:
+        ordered = [F.element_at(F.sort_array(F.collect_list(F.when(s.within(value(s)), value(s)))), s.rank - s.below).alias(f"v{i}") for i, s in enumerate(few)]
+        row = df.agg(*ordered).first()
+        for i, s in enumerate(few):
+            s.value = row[f"v{i}"]
+
+
+def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], accuracy: int = SELECT_ACCURACY) -> DataFrame:
+    """``column, q, value``: the smallest value that at least ``q`` of the column's values do not exceed."""
+    columns = list(columns)
+    n = df.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+    searches = [_Search(c, q, n[f"n{i}"]) for i, c in enumerate(columns) for q in probabilities if n[f"n{i}"]]
+    _select(df, searches, accuracy)
+    return df.sparkSession.createDataFrame([(s.column, s.q, s.value) for s in searches], "column string, q double, value double")
 
 
 def numeric_profile(
-    df: DataFrame, columns: Sequence[str] | None = None, exact: bool = True, accuracy: int = QUANTILE_ACCURACY
+    df: DataFrame, columns: Sequence[str] | None = None, exact: bool = True, accuracy: int | None = None
 ) -> DataFrame:
     """Statistics of numeric columns: one scan and one aggregate for all columns, no shuffle of values.
 
-    Skewness and kurtosis carry the sample correction; kurtosis is excess. With ``exact`` off the
-    quantiles come from the sketch of the same scan.
+    Skewness and kurtosis carry the sample correction; kurtosis is excess. Exact quantiles take two more scans on most
+    tables (:func:`exact_quantiles`); with ``exact`` off they come from the sketch of the first.
     """
     columns = list(columns or numeric_columns(df))
+    accuracy = accuracy or (SELECT_ACCURACY if exact else QUANTILE_ACCURACY)
     if not columns:
         raise ValueError("the table has no numeric column to profile")
 
@@ -92,25 +133,37 @@ def numeric_profile(
         quantiles = F.percentile_approx(c, F.array(*[F.lit(q) for q in QUANTILES.values()]), F.lit(accuracy))
         return {
             "count": F.count(c), "missing": F.count_if(F.col(name).isNull()), "min": F.min(c), "max": F.max(c),
-            "mean": F.avg(c), "std": F.stddev_samp(c), "variance": F.var_samp(c), "sum": F.sum(c),
+            "mean": F.avg(c), "variance": F.var_samp(c), "sum": F.sum(c),
             "zeros": F.count_if(c == 0), "negatives": F.count_if(c < 0), "_g1": F.skewness(c), "_g2": F.kurtosis(c),
             **({} if exact else {"_q": quantiles}),
         }
 
     fields = measures(columns[0])
-    aggregated = df.agg(*[m.alias(f"{name}_{i}") for i, c in enumerate(columns) for name, m in measures(c).items()])
+    aggregates = [m.alias(f"{name}_{i}") for i, c in enumerate(columns) for name, m in measures(c).items()]
+    quantiles = list(QUANTILES.values())
+    if exact:
+        # the first brackets of the order statistics come from the same scan
+        ends = [p for q in quantiles for p in (max(q - 3.0 / accuracy, 0.0), min(q + 3.0 / accuracy, 1.0))]
+        sketches = [_sketch(F.col(c).cast("double"), ends, accuracy).alias(f"_e_{i}") for i, c in enumerate(columns)]
+        scanned = df.agg(*aggregates, *sketches)
+        row, schema = scanned.first(), scanned.schema
+        aggregated = df.sparkSession.createDataFrame([row], schema)
+    else:
+        aggregated = df.agg(*aggregates)
     n = F.col("count").cast("double")
     skew = F.when(n > 2, F.sqrt(n * (n - 1)) / (n - 2) * F.col("_g1"))
     kurt = F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.col("_g2") + 6))
     table = _rows_per_column(aggregated, columns, fields).select(
-        "*", skew.alias("skewness"), kurt.alias("kurtosis"), (F.col("max") - F.col("min")).alias("range"),
+        "*", F.sqrt("variance").alias("std"), skew.alias("skewness"), kurt.alias("kurtosis"), (F.col("max") - F.col("min")).alias("range"),
     ).drop("_g1", "_g2")
     if not exact:
         return table.select("*", *[F.try_element_at("_q", F.lit(i + 1)).alias(q) for i, q in enumerate(QUANTILES)]).drop("_q")
-    wide = exact_quantiles(df, columns, list(QUANTILES.values()), accuracy).groupBy("column").agg(
-        *[F.max(F.when(F.col("q") == q, F.col("value"))).alias(name) for name, q in QUANTILES.items()]
-    )
-    return table.join(wide, "column", "left")
+    searches = {(c, q): _Search(c, q, row[f"count_{i}"]) for i, c in enumerate(columns) for q in quantiles if row[f"count_{i}"]}
+    brackets = {(c, q): row[f"_e_{i}"][2 * k : 2 * k + 2] for i, c in enumerate(columns) for k, q in enumerate(quantiles) if row[f"count_{i}"]}
+    _select(df, list(searches.values()), accuracy, brackets)
+    values = [(c, *[searches[c, q].value if (c, q) in searches else None for q in quantiles]) for c in columns]
+    wide = df.sparkSession.createDataFrame(values, "column string, " + ", ".join(f"{q} double" for q in QUANTILES))
+    return table.join(F.broadcast(wide), "column", "left")
 
 
 def long_values(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
@@ -187,16 +240,23 @@ def column_samples(
 ) -> DataFrame:
     """Up to ``k`` non-null values per column (and per ``by`` group), the same on every run.
 
-    The order is a digest of seed, column, value and row key. Ranks above ``k`` are cut off in each task
-    before the shuffle, so a group never travels whole. With ``keep_empty`` a column without values
-    is kept with null values.
+    The order is a digest of seed, column, value and row key. Cells are first counted by the leading digits of their
+    digest; the counts, combined before the shuffle, tell beyond which digits no cell can be among the first
+    ``k``, and only cells up to there are ordered: about one in ``16 ** PREFIX`` and k. With ``keep_empty`` a column
+    without values is kept with null values.
     """
     cells = long_values(df, columns, [*by, *row_key])
     if not keep_empty:
         cells = cells.where("value is not null")
     order = seeded_digest(seed, F.col("column"), F.col("value"), *[F.col(c) for c in row_key])
-    window = Window.partitionBy(*by, "column").orderBy(F.col("value").isNull(), "_o", "value")
-    return (
-        cells.withColumn("_o", order).withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
-        .select(*by, "column", "rank", "value")
-    )
+    group = [*by, "column"]
+    # cells without a value come last; "g" is behind every hex digit
+    marked = cells.withColumn("_o", order).withColumn("_p", F.when(F.col("value").isNull(), F.lit("g")).otherwise(F.substring("_o", 1, PREFIX)))
+    counts = marked.groupBy(*group, "_p").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*group).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cut = counts.withColumn("_b", before).where(F.col("_b") < k).groupBy(*group).agg(F.max("_p").alias("_cut"))
+    if not by:
+        cut = F.broadcast(cut)  # a row for each column
+    first = marked.alias("m").join(cut.alias("c"), [F.col(f"m.{c}").eqNullSafe(F.col(f"c.{c}")) for c in group]).where("_p <= _cut").select("m.*")
+    window = Window.partitionBy(*group).orderBy(F.col("value").isNull(), "_o", "value")
+    return first.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k).select(*group, "rank", "value")

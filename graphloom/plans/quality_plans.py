@@ -13,6 +13,7 @@ from graphloom.operators.profile import (
     top_values,
 )
 from graphloom.operators.quality import duplicate_count, high_null_columns, null_rates, quality_report, schema_difference
+from graphloom.operators.table_profile import merge_sketches, table_profile, table_sketches
 from graphloom.operators.views import customer_revenue, seeded_sample, shuffled_ids
 from graphloom.plans.people import SQL_SOURCES, sources, table
 
@@ -86,6 +87,61 @@ def _histogram_sql(t: str, columns: list[str], bins: int) -> str:
     )
 
 
+def _typed(spark, d):
+    """Customers with a flag, a balance that is missing for some, and lists."""
+    return table(spark, d, "customer").withColumns({
+        "in_debt": F.when(F.col("c_custkey") % 11 != 0, F.col("c_acctbal") < 0), "c_acctbal": F.when(F.col("c_custkey") % 5 != 0, F.col("c_acctbal")),
+    })
+
+
+def _all_profiles(*tables):
+    def run(spark, d):
+        out = None
+        for t in tables:
+            one = table_profile(_typed(spark, d) if t == "typed" else table(spark, d, t)).select(F.lit(t).alias("table"), "*")
+            out = one if out is None else out.unionByName(one)
+        return out.withColumn("mean", F.round("mean", 4))
+    return run
+
+
+def _profile_sql(t: str, columns: dict[str, str]) -> str:
+    """One row a column; ``columns`` has their types."""
+    null = "NULL"
+    rows = []
+    for i, (c, kind) in enumerate(columns.items()):
+        text, number, ordered = kind == "text", kind == "numeric", kind in ("numeric", "date", "text")
+        rows.append(
+            f"""SELECT '{t}' AS "table", {i} AS ord, '{c}' AS "column", '{kind}' AS type, count(*) AS rows, count(*) - count({c}) AS missing,
+            count(DISTINCT {c}) AS "distinct", (SELECT count(*) FROM (SELECT {c} FROM {t} WHERE {c} IS NOT NULL GROUP BY {c} HAVING count(*) = 1)) AS "unique",
+            {f'min({c})' if ordered else null}::VARCHAR AS min, {f'max({c})' if ordered else null}::VARCHAR AS max,
+            {f'round(avg({c}), 4)' if number else null}::DOUBLE AS mean, {f'count(*) FILTER ({c} = 0)' if number else null}::BIGINT AS zeros,
+            {f'count(*) FILTER ({c})' if kind == 'boolean' else null}::BIGINT AS trues, {f"count(*) FILTER ({c} = '')" if text else null}::BIGINT AS blank,
+            {f'min(length({c}))' if text else null}::BIGINT AS min_length, {f'max(length({c}))' if text else null}::BIGINT AS max_length FROM {t}"""
+        )
+    return " UNION ALL ".join(rows)
+
+
+def _sketch_bounds(spark, d):
+    """Line items profiled by return flag and merged: sums are exact, distinct values within five percent."""
+    line = table(spark, d, "lineitem")
+    merged = merge_sketches(table_sketches(line, ["l_returnflag"])).select("column", "rows", "missing", "min_length", "max_length", F.col("distinct").alias("estimate"))
+    exact = table_profile(line.drop("l_returnflag")).select("column", "distinct")
+    close = F.abs(F.col("estimate") - F.col("distinct")) <= 0.05 * F.col("distinct")
+    return merged.join(exact, "column").select("column", "rows", "missing", "min_length", "max_length", "distinct", close.alias("close"))
+
+
+PROFILED = {
+    "lineitem": {
+        "l_orderkey": "numeric", "l_partkey": "numeric", "l_suppkey": "numeric", "l_linenumber": "numeric", "l_quantity": "numeric", "l_extendedprice": "numeric",
+        "l_discount": "numeric", "l_tax": "numeric", "l_returnflag": "text", "l_linestatus": "text", "l_shipdate": "date",
+    },
+    "events": {"event_id": "numeric", "ts": "date", "user_id": "numeric", "event_type": "text", "value": "numeric", "props": "text"},
+    "documents": {"doc_id": "numeric", "text": "text", "lang": "text", "source": "text", "n_chars": "numeric"},
+    "typed": {"c_custkey": "numeric", "c_name": "text", "c_nationkey": "numeric", "c_acctbal": "numeric", "c_mktsegment": "text", "in_debt": "boolean"},
+}
+SQL_TYPED = """typed AS (SELECT * REPLACE (CASE WHEN c_custkey % 5 <> 0 THEN c_acctbal END AS c_acctbal),
+  CASE WHEN c_custkey % 11 <> 0 THEN c_acctbal < 0 END AS in_debt FROM customer)"""
+
 COLUMNS_A = ["src", "pid", "ID_Client", "nom_complet", "email", "dt_naissance", "ville", "ca_annuel", "segment"]
 COLUMNS_B = ["src", "pid", "Matricule_RH", "Nom_Famille", "Prenom", "date_nais", "departement", "contrat", "salaire_mensuel", "date_embauche"]
 
@@ -106,6 +162,8 @@ QUERIES = {
     "profile_top_values": lambda s, d: top_values(events_with_nulls(s, d), EVENT_TEXTS, 5),
     "profile_histogram": lambda s, d: _rounded(histogram(table(s, d, "lineitem"), LINE_NUMBERS, 10), ["low", "high"], 6),
     "profile_approximate_distinct": lambda s, d: approximate_distinct(table(s, d, "lineitem"), ["l_orderkey", "l_partkey", "l_suppkey"]),
+    "profile_table": _all_profiles("lineitem", "events", "documents", "typed"),
+    "profile_merged_sketches": _sketch_bounds,
     "schema_difference": lambda s, d: schema_difference(*sources(s, d)),
     "column_samples": lambda s, d: column_samples(table(s, d, "customer"), ["c_name", "c_mktsegment", "c_nationkey"], ["c_custkey"]),
     "seeded_sample": lambda s, d: seeded_sample(table(s, d, "customer").select("c_custkey", "c_name", "c_mktsegment"), 100, ["c_custkey"]),
@@ -138,6 +196,12 @@ ORACLE = {
     + """) SELECT * FROM (SELECT "column", row_number() OVER (PARTITION BY "column" ORDER BY n DESC, value) AS rank, value, n
       FROM (SELECT "column", value, count(*) AS n FROM v WHERE value IS NOT NULL GROUP BY 1, 2)) WHERE rank <= 5""",
     "profile_histogram": _histogram_sql("lineitem", LINE_NUMBERS, 10),
+    "profile_table": f"WITH {SQL_TYPED} " + " UNION ALL ".join(_profile_sql(t, columns) for t, columns in PROFILED.items()),
+    "profile_merged_sketches": " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", count(*) AS rows, count(*) - count({c}) AS missing, {f'min(length({c}))' if kind == 'text' else 'NULL'}::BIGINT AS min_length,
+        {f'max(length({c}))' if kind == 'text' else 'NULL'}::BIGINT AS max_length, count(DISTINCT {c}) AS "distinct", true AS close FROM lineitem"""
+        for c, kind in PROFILED["lineitem"].items() if c != "l_returnflag"
+    ),
     "schema_difference": f"""WITH {SQL_SOURCES.strip()},
       la AS (UNPIVOT (SELECT {_filled(COLUMNS_A)} FROM src_a) ON * INTO NAME name VALUE n),
       lb AS (UNPIVOT (SELECT {_filled(COLUMNS_B)} FROM src_b) ON * INTO NAME name VALUE n)
