@@ -28,7 +28,8 @@ _SEPARATOR = "\x1f"
 # is read without recursion.
 _HEAD = r"(?s)^\s*(?:<([^<>\s]*)>|(_:\S+))\s+<([^<>\s]*)>\s+(.*)$"
 _NODE = r"^(?:<([^<>\s]*)>|(_:[^\s.]+))\s*\.\s*(?:#.*)?$"
-_LITERAL_END = r'"(?:\^\^<([^<>\s"]*)>|@([A-Za-z0-9-]+))?\s*\.\s*(?:#[^"]*)?$'
+# A literal from its first quote to the next that is not escaped; possessive, so its length costs no stack.
+_LITERAL = r'(?s)^"([^"\\]*+(?:\\.[^"\\]*+)*+)"(?:\^\^<([^<>\s"]*)>|@([A-Za-z0-9-]+))?\s*\.\s*(?:#.*)?$'
 
 
 def expand_prefix(term: str, prefixes: Mapping[str, str] = PREFIXES) -> str:
@@ -135,12 +136,10 @@ def parse_triple_line(line: Column) -> Column:
     part = F.split(F.regexp_replace(line, _HEAD, _SEPARATOR.join(["$1", "$2", "$3", "$4"])), _SEPARATOR, 4)
     rest = F.get(part, F.lit(3))
     iri, blank = (F.regexp_extract(rest, _NODE, k) for k in (1, 2))
-    end = F.regexp_extract(rest, _LITERAL_END, 0)
-    text = F.substring(rest, F.lit(2), F.length(rest) - F.length(end) - 1)
-    stray = F.replace(F.replace(text, F.lit("\\\\"), F.lit("")), F.lit('\\"'), F.lit("")).contains('"')
+    text = F.regexp_extract(rest, _LITERAL, 1)
     literal = rest.startswith('"')
-    well_formed = F.when(literal, (end != "") & (F.length(rest) > F.length(end)) & ~stray).otherwise(rest.rlike(_NODE))
-    optional = lambda k: F.when(literal, F.nullif(F.regexp_extract(end, _LITERAL_END, k), F.lit("")))
+    well_formed = F.when(literal, rest.rlike(_LITERAL)).otherwise(rest.rlike(_NODE))
+    optional = lambda k: F.when(literal, F.nullif(F.regexp_extract(rest, _LITERAL, k), F.lit("")))
     return F.when(
         (F.size(part) == 4) & well_formed,
         F.struct(
@@ -148,8 +147,8 @@ def parse_triple_line(line: Column) -> Column:
             F.get(part, F.lit(2)).alias("p"),
             F.when(literal, unescape_literal(text)).when(blank != "", blank).otherwise(iri).alias("o"),
             F.when(literal, "literal").otherwise("iri").alias("o_kind"),
-            optional(1).alias("o_datatype"),
-            optional(2).alias("o_lang"),
+            optional(2).alias("o_datatype"),
+            optional(3).alias("o_lang"),
         ),
     )
 

@@ -34,9 +34,11 @@ from graphloom.operators.triples import (
 from graphloom.plans.linkage_plans import SQL_LINKS, fitted, linkage_sql
 from graphloom.plans.people import SQL_SOURCES, employees_and_customers, table
 from graphloom.session import scratch_path
+from graphloom.sources.graph_store import add_triples, store_graph, stored_graph, stored_pattern, subjects
 from graphloom.sources.ntriples import malformed_lines, read_ntriples, write_ntriples
 
 FIRST_NAME = "http://xmlns.com/foaf/0.1/firstName"
+FAMILY_NAME = "http://xmlns.com/foaf/0.1/familyName"
 SHAPES = [
     Shape("ex:Employee", "foaf:familyName", min_count=1, max_count=1),
     Shape("ex:Employee", "schema:birthDate", min_count=1, max_count=1, datatype="xsd:date", pattern=r"^\d{4}-\d{2}-\d{2}$"),
@@ -102,6 +104,31 @@ def _malformed(spark, d):
     return malformed_lines(spark, path)
 
 
+def _stored(spark: SparkSession, triples: DataFrame) -> str:
+    """A table of its own for ``triples``; returns its name."""
+    path = scratch_path(spark, "store")
+    name = "graph_" + path.rsplit("-", 1)[-1]
+    store_graph(triples, name, path, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return name
+
+
+def _stored_pattern(spark, d):
+    return stored_pattern(spark, _stored(spark, graph(spark, d)), p=FIRST_NAME)
+
+
+def _stored_subjects(spark, d):
+    return subjects(spark, _stored(spark, graph(spark, d)), {"first": FIRST_NAME, "family": FAMILY_NAME})
+
+
+def _stored_union(spark, d):
+    """A stored graph of employees to which all triples are added, and then all once more."""
+    name = _stored(spark, _one(EMPLOYEE_MAPPING)(spark, d))
+    everything = graph(spark, d)
+    fresh, none = add_triples(spark, name, everything.unionByName(everything)), add_triples(spark, name, everything)
+    counts = stored_graph(spark, name).groupBy("p").agg(F.count(F.lit(1)).alias("triples"), F.count_distinct("s").alias("subjects"))
+    return counts.withColumns({"added": F.lit(fresh).cast("bigint"), "added_again": F.lit(none).cast("bigint")})
+
+
 def _added(spark, d):
     g = graph(spark, d)
     one = g.agg(F.min("s").alias("s"))
@@ -147,6 +174,9 @@ QUERIES = {
     "ntriples_malformed": _malformed,
     "entity_counts": lambda s, d: entity_counts(graph(s, d), ["ex:Employee", "ex:Customer"]),
     "triple_pattern": lambda s, d: match_triples(graph(s, d), p=FIRST_NAME),
+    "stored_pattern": _stored_pattern,
+    "stored_subjects": _stored_subjects,
+    "stored_union": _stored_union,
     "terms_containing": lambda s, d: terms_containing(graph(s, d), "Employee").select("s").distinct(),
     "predicate_names": _curies,
     "graph_preview": lambda s, d: preview(graph(s, d), 300),
@@ -244,6 +274,12 @@ ORACLE = {
         f"SELECT o AS class, count(*) AS entities FROM graph WHERE p = '{RDF_TYPE}' AND o IN ('{_EX}Employee', '{_EX}Customer') GROUP BY o"
     ),
     "triple_pattern": graph_sql(f"SELECT * FROM graph WHERE p = '{FIRST_NAME}'"),
+    "stored_pattern": graph_sql(f"SELECT * FROM graph WHERE p = '{FIRST_NAME}'"),
+    "stored_subjects": graph_sql(f"SELECT a.s, a.o AS first, b.o AS family FROM graph a JOIN graph b ON a.s = b.s AND a.p = '{FIRST_NAME}' AND b.p = '{FAMILY_NAME}'"),
+    "stored_union": graph_sql(
+        f"""SELECT p, count(*) AS triples, count(DISTINCT s) AS subjects, (SELECT count(*) FROM graph WHERE NOT contains(s, '#Employee_')) AS added,
+        0::BIGINT AS added_again FROM graph GROUP BY p"""
+    ),
     "terms_containing": graph_sql("SELECT DISTINCT s FROM graph WHERE contains(s, 'Employee')"),
     "predicate_names": graph_sql(
         f"SELECT {_LOCAL.format(x='p')} AS local, '{_EX}' || {_LOCAL.format(x='p')} AS expanded, count(*) AS triples FROM graph GROUP BY p"
