@@ -127,18 +127,17 @@ def parse_answer(answer: Column) -> Column:
 
     Null where the text is no JSON, a key is missing or the confidence is no number.
     """
-    whole = F.from_json(answer, _ANSWER)
-    first = F.try_element_at(F.from_json(answer, T.ArrayType(_ANSWER)), F.lit(1))
-    chosen = F.when(F.ltrim(answer).startswith("["), first).otherwise(whole)
-    confidence = chosen["confiance"].try_cast("double")
-    complete = chosen["cible"].isNotNull() & confidence.isNotNull() & chosen["justification"].isNotNull()
-    return F.when(
-        complete,
-        F.struct(
-            F.trim(chosen["cible"]).alias("cible"), confidence.alias("confiance"),
-            F.trim(chosen["justification"]).alias("justification"),
-        ),
-    )
+    def checked(chosen: Column) -> Column:
+        confidence = chosen["confiance"].try_cast("double")
+        complete = chosen["cible"].isNotNull() & confidence.isNotNull() & chosen["justification"].isNotNull()
+        fields = F.struct(
+            F.trim(chosen["cible"]).alias("cible"), confidence.alias("confiance"), F.trim(chosen["justification"]).alias("justification")
+        )
+        return F.when(complete, fields)
+
+    # an object reads as a list of one; inside ``transform`` the text is parsed once for all its fields
+    listed = F.from_json(answer, T.ArrayType(_ANSWER))
+    return F.try_element_at(F.transform(F.slice(listed, 1, 1), checked), F.lit(1))
 
 
 def _looks_like(pattern: str) -> Callable[[Column], Column]:
@@ -174,7 +173,10 @@ class EvidenceResolver:
 
 @dataclass(frozen=True)
 class CallResolver:
-    """Answers from a user's function, called once per ambiguous column inside the tasks.
+    """Answers from a user's function, called once for each different question.
+
+    Only rows that ask are sent out: equal questions are asked once, the calls are dealt evenly to ``tasks`` tasks,
+    and the answers are joined back. ``per_minute`` bounds the calls of all tasks together.
 
     The function gets ``{"colonne", "exemples", "ontologie"}`` and returns a dict, a list or JSON text.
     ``retry_on`` errors are tried again with doubling waits; an error that lasts gives no answer.
@@ -185,6 +187,8 @@ class CallResolver:
     min_wait: float = 2.0
     max_wait: float = 60.0
     retry_on: tuple[type[BaseException], ...] = (ConnectionError, TimeoutError)
+    tasks: int = 32
+    per_minute: float | None = None
 
     def _ask(self, payload: dict) -> str | None:
         for attempt in range(1, self.attempts + 1):
@@ -200,22 +204,24 @@ class CallResolver:
 
     def __call__(self, rows: DataFrame, ontology: Mapping[str, str]) -> DataFrame:
         listing = "\n".join(f"  - {u} : {d}" for u, d in ontology.items())
-        schema = T.StructType([*rows.schema.fields, T.StructField("answer", T.StringType()), T.StructField("latency_ms", T.DoubleType())])
+        asked = rows.where("_ask").select("source_column", "samples").distinct()
+        schema = T.StructType([*asked.schema.fields, T.StructField("answer", T.StringType()), T.StructField("latency_ms", T.DoubleType())])
+        pause = 60.0 * self.tasks / self.per_minute if self.per_minute else 0.0
 
         def resolve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 answers, times = [], []
-                for column, samples, ask in zip(batch["source_column"], batch["samples"], batch["_ask"]):
-                    if not ask:
-                        answers.append(None)
-                        times.append(0.0)
-                        continue
+                for column, samples in zip(batch["source_column"], batch["samples"]):
                     start = time.perf_counter()
                     answers.append(self._ask({"colonne": column, "exemples": json.dumps(list(samples), ensure_ascii=False), "ontologie": listing}))
-                    times.append(round((time.perf_counter() - start) * 1000, 1))
+                    spent = time.perf_counter() - start
+                    times.append(round(spent * 1000, 1))
+                    time.sleep(max(pause - spent, 0.0))
                 yield batch.assign(answer=answers, latency_ms=times)
 
-        return rows.mapInPandas(resolve, schema)
+        answers = asked.repartition(self.tasks).mapInPandas(resolve, schema).alias("a")
+        same = F.col("r._ask") & F.col("r.source_column").eqNullSafe(F.col("a.source_column")) & F.col("r.samples").eqNullSafe(F.col("a.samples"))
+        return rows.alias("r").join(answers, same, "left").select("r.*", "a.answer", F.coalesce("a.latency_ms", F.lit(0.0)).alias("latency_ms"))
 
 
 # --- input: one row per column ---------------------------------------------------------------------
@@ -368,11 +374,13 @@ TARGET_DATATYPES = {"schema:birthDate": "xsd:date", "ex:annualRevenue": "xsd:dec
 
 
 def mapping_from_matches(
-    results: DataFrame, table: str, id_target: str = "ex:employeeId", base: str = "http://kg.projet.fr/ontology#"
+    results: DataFrame, table: str, id_target: str = "ex:employeeId", base: str = "http://kg.projet.fr/ontology#",
+    classes: Mapping[str, Sequence[str]] = {},
 ) -> DataFrame:
     """Mapping rows (as ``triples.mappings_from_rows`` takes them) from accepted matches.
 
-    Each table's subject comes from its best column for ``id_target``; a table without one gives no rows.
+    Each table's subject comes from its best column for ``id_target``; a table without one gives no rows. ``classes``
+    names what the rows of a table are: a type rule for each.
     """
     accepted = results.where(F.col("target_uri") != UNMATCHED)
     ids = (
@@ -383,13 +391,20 @@ def mapping_from_matches(
     datatype = F.lit(None).cast("string")
     for uri, dt in TARGET_DATATYPES.items():
         datatype = F.when(F.col("target_uri") == uri, dt).otherwise(datatype)
-    return accepted.join(ids, table).select(
-        F.col(table).alias("mapping"), F.col(table).alias("source"),
-        F.concat(F.lit(base), F.col(table), F.lit("_$("), F.col("_id"), F.lit(")")).alias("subject_template"),
-        F.col("target_uri").alias("predicate"),
-        F.concat(F.lit("$("), F.col("source_column"), F.lit(")")).alias("object_template"),
+    subject = F.concat(F.lit(base), F.col(table), F.lit("_$("), F.col("_id"), F.lit(")")).alias("subject_template")
+    head = [F.col(table).alias("mapping"), F.col(table).alias("source"), subject]
+    rules = accepted.join(ids, table).select(
+        *head, F.col("target_uri").alias("predicate"), F.concat(F.lit("$("), F.col("source_column"), F.lit(")")).alias("object_template"),
         F.lit("literal").alias("term_type"), datatype.alias("datatype"),
     )
+    if not classes:
+        return rules
+    named = F.create_map(*[x for k, v in classes.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    typed = ids.select(
+        *head, F.lit("rdf:type").alias("predicate"), F.explode(F.try_element_at(named, F.col(table))).alias("object_template"),
+        F.lit("iri").alias("term_type"), F.lit(None).cast("string").alias("datatype"),
+    )
+    return typed.unionByName(rules)
 
 
 # --- comparison of variants ------------------------------------------------------------------------

@@ -178,11 +178,14 @@ def terms_containing(graph: DataFrame, text: str, position: str = "s") -> DataFr
 
 
 def entity_counts(graph: DataFrame, classes: Sequence[str] | None = None) -> DataFrame:
-    """Entities per class, one aggregate for all classes."""
+    """Entities per class, one aggregate for all classes; a wanted class without entities counts 0."""
     typed = graph.where(F.col("p") == RDF_TYPE)
-    if classes is not None:
-        typed = typed.where(F.col("o").isin([expand_prefix(c) for c in classes]))
-    return typed.groupBy(F.col("o").alias("class")).agg(F.count(F.lit(1)).alias("entities"))
+    if classes is None:
+        return typed.groupBy(F.col("o").alias("class")).agg(F.count(F.lit(1)).alias("entities"))
+    wanted = [expand_prefix(c) for c in classes]
+    counted = typed.agg(*[F.count_if(F.col("o") == c).alias(f"n{i}") for i, c in enumerate(wanted)])
+    rows = [F.struct(F.lit(c).alias("class"), F.col(f"n{i}").alias("entities")) for i, c in enumerate(wanted)]
+    return counted.select(F.inline(F.array(*rows)))
 
 
 def validate_graph(graph: DataFrame, classes: Sequence[str] = ("ex:Employee", "ex:Customer")) -> dict:

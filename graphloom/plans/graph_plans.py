@@ -172,7 +172,7 @@ QUERIES = {
     "ntriples_roundtrip": _roundtrip,
     "ntriples_documents_roundtrip": _documents_roundtrip,
     "ntriples_malformed": _malformed,
-    "entity_counts": lambda s, d: entity_counts(graph(s, d), ["ex:Employee", "ex:Customer"]),
+    "entity_counts": lambda s, d: entity_counts(graph(s, d), ["ex:Employee", "ex:Customer", "ex:Supplier"]),
     "triple_pattern": lambda s, d: match_triples(graph(s, d), p=FIRST_NAME),
     "stored_pattern": _stored_pattern,
     "stored_subjects": _stored_subjects,
@@ -271,7 +271,8 @@ ORACLE = {
         """SELECT '<' || s || '> <' || p || '> "' || o || '"^^<' || o_datatype || '>' AS value FROM graph WHERE o_datatype IS NOT NULL"""
     ),
     "entity_counts": graph_sql(
-        f"SELECT o AS class, count(*) AS entities FROM graph WHERE p = '{RDF_TYPE}' AND o IN ('{_EX}Employee', '{_EX}Customer') GROUP BY o"
+        f"""SELECT c.class, count(s) AS entities FROM (VALUES ('{_EX}Employee'), ('{_EX}Customer'), ('{_EX}Supplier')) c(class)
+        LEFT JOIN graph ON p = '{RDF_TYPE}' AND o = c.class GROUP BY c.class"""
     ),
     "triple_pattern": graph_sql(f"SELECT * FROM graph WHERE p = '{FIRST_NAME}'"),
     "stored_pattern": graph_sql(f"SELECT * FROM graph WHERE p = '{FIRST_NAME}'"),

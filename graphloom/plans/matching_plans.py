@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from graphloom.functions.vectors import best_by_vectors, cosine
+from graphloom.functions.vectors import cosine
 from graphloom.operators.evaluate import compute_metrics, judge
 from graphloom.operators.matching import (
     NGRAM_TAU,
@@ -30,6 +30,7 @@ from graphloom.operators.matching import (
     split_by_threshold,
     with_best_target,
 )
+from graphloom.operators.nearest import nearest_target
 from graphloom.operators.triples import mappings_from_rows, materialize
 from graphloom.plans.people import SQL_SOURCES, sources, table
 
@@ -85,27 +86,29 @@ def variants(spark, d):
     return run_variants(lake(spark, d), gold_table(spark))
 
 
+#: What the rows of the two tables are.
+CLASSES = {"customers": ["ex:Customer", "foaf:Person"], "employees": ["ex:Employee", "foaf:Person"]}
+
+
 def _mapping_triples(spark, d):
     """The generated rules put to work on the tables they came from, one mapping per table kind."""
     a, b = sources(spark, d)
     frames = {"customers": (a, COLUMNS_A), "employees": (b, COLUMNS_B)}
     rules = None
     for name, (df, columns) in frames.items():
-        found = mapping_from_matches(match_hybrid(column_table(df.withColumn("table", F.lit(name)), columns, ["pid"], by=["table"])), "table")
+        found = mapping_from_matches(match_hybrid(column_table(df.withColumn("table", F.lit(name)), columns, ["pid"], by=["table"])), "table", classes=CLASSES)
         rules = found if rules is None else rules.unionByName(found)
     return materialize({k: v[0] for k, v in frames.items()}, mappings_from_rows(rules))
 
 
 def label_targets(spark, d):
     """The first vector of every label."""
-    return table(spark, d, "embeddings").groupBy("label").agg(F.min_by("embedding", "vec_id").alias("target")).orderBy("label")
+    return table(spark, d, "embeddings").groupBy("label").agg(F.min_by("embedding", "vec_id").alias("target"))
 
 
 def scored_vectors(spark, d):
-    rows = label_targets(spark, d).collect()
-    labels = F.array(*[F.lit(r["label"]) for r in rows])
-    best = table(spark, d, "embeddings").select("vec_id", "label", best_by_vectors(F.col("embedding"), [r["target"] for r in rows]).alias("_b"))
-    return best.select("vec_id", "label", F.element_at(labels, 1 - F.col("_b.back")).alias("target"), F.col("_b.score").alias("score"))
+    e, targets = table(spark, d, "embeddings"), label_targets(spark, d).select(F.col("label").alias("of"), F.col("target").alias("at"))
+    return nearest_target(e, "embedding", targets, "of", "at", ["vec_id", "label"])
 
 
 def _vector_split(spark, d):
@@ -299,3 +302,29 @@ ORACLE = {
       count(*) AS n FROM events GROUP BY 1, 2""",
     "json_answer_parse": _ANSWER_SQL,
 }
+
+
+def _generated_triples_sql() -> str:
+    """What the generated rules say of the two tables, written out."""
+    ex, xsd, schema = "http://kg.projet.fr/ontology#", "http://www.w3.org/2001/XMLSchema#", "https://schema.org/"
+    rules = {
+        ("src_a", "customers", "ID_Client", "Customer"): {
+            "ID_Client": (f"{ex}employeeId", None), "nom_complet": (f"{ex}fullName", None), "email": (f"{schema}email", None), "dt_naissance": (f"{schema}birthDate", "date"),
+            "ville": (f"{schema}addressLocality", None), "ca_annuel": (f"{ex}annualRevenue", "decimal"),
+        },
+        ("src_b", "employees", "Matricule_RH", "Employee"): {
+            "Matricule_RH": (f"{ex}employeeId", None), "Nom_Famille": (f"{ex}fullName", None), "Prenom": ("http://xmlns.com/foaf/0.1/firstName", None),
+            "date_nais": (f"{schema}birthDate", "date"), "departement": (f"{ex}department", None), "contrat": (f"{schema}jobTitle", None),
+        },
+    }
+    parts = []
+    for (source, name, key, of), columns in rules.items():
+        s = f"'{ex}{name}_' || url_encode({key})"
+        for c in (f"{ex}{of}", "http://xmlns.com/foaf/0.1/Person"):
+            parts.append(f"SELECT {s} AS s, 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type' AS p, '{c}' AS o, 'iri' AS o_kind, NULL::VARCHAR AS o_datatype, NULL::VARCHAR AS o_lang FROM {source}")
+        for c, (p, kind) in columns.items():
+            parts.append(f"SELECT {s}, '{p}', {c}, 'literal', {f"'{xsd}{kind}'" if kind else 'NULL'}, NULL FROM {source} WHERE {c} IS NOT NULL")
+    return f"WITH {SQL_SOURCES.strip()}\n" + " UNION ".join(parts)
+
+
+ORACLE["mapping_triples"] = _generated_triples_sql()

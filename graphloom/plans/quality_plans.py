@@ -42,18 +42,19 @@ def _rounded(df, columns=_ROUND, digits=4):
 
 
 def _transactions(spark, d):
+    """A row an order, summed before anything is joined: lines are combined in each task and meet their order alone."""
     line, order, customer, nation = (table(spark, d, t) for t in ("lineitem", "orders", "customer", "nation"))
+    # returned lines count against the customer; cents as whole numbers keep the sum exact
+    quantity = F.when(F.col("l_returnflag") == "R", -F.col("l_quantity").cast("long")).otherwise(F.col("l_quantity").cast("long"))
+    cents = F.sum(quantity * F.round(F.col("l_extendedprice") * 100).cast("long"))
+    sums = line.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(cents.alias("price"))
     return (
-        line.select(F.col("l_orderkey").alias("o_orderkey"), "l_quantity", "l_extendedprice", "l_returnflag")
-        .join(order.select("o_orderkey", F.col("o_custkey").alias("c_custkey")), "o_orderkey")
+        sums.join(order.select("o_orderkey", F.col("o_custkey").alias("c_custkey")), "o_orderkey")
         .join(customer.select("c_custkey", F.col("c_nationkey").alias("n_nationkey")), "c_custkey", "left")
         .join(nation.select("n_nationkey", "n_name"), "n_nationkey", "left")
         .select(
             F.when(F.col("o_orderkey") % 7 != 0, F.col("c_custkey").cast("double")).alias("customer_id"),
-            # returned lines count against the customer; cents as whole numbers keep the sum exact
-            F.when(F.col("l_returnflag") == "R", -F.col("l_quantity").cast("long")).otherwise(F.col("l_quantity").cast("long")).alias("quantity"),
-            (F.round(F.col("l_extendedprice") * 100).cast("long")).alias("price"),
-            F.col("n_name").alias("country"),
+            F.lit(1).alias("quantity"), "price", F.col("n_name").alias("country"),
         )
     )
 
