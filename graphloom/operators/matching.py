@@ -178,7 +178,7 @@ class CallResolver:
     Only rows that ask are sent out: equal questions are asked once, the calls are dealt evenly to ``tasks`` tasks,
     and the answers are joined back. ``per_minute`` bounds the calls of all tasks together.
 
-    The function gets ``{"colonne", "exemples", "ontologie"}`` and returns a dict, a list or JSON text.
+    The function gets ``{"column", "samples", "targets"}`` (samples and targets as JSON) and returns a dict, a list or JSON text.
     ``retry_on`` errors are tried again with doubling waits; an error that lasts gives no answer.
     """
 
@@ -203,7 +203,7 @@ class CallResolver:
         return None
 
     def __call__(self, rows: DataFrame, ontology: Mapping[str, str]) -> DataFrame:
-        listing = "\n".join(f"  - {u} : {d}" for u, d in ontology.items())
+        listing = json.dumps(dict(ontology), ensure_ascii=False)
         asked = rows.where("_ask").select("source_column", "samples").distinct()
         schema = T.StructType([*asked.schema.fields, T.StructField("answer", T.StringType()), T.StructField("latency_ms", T.DoubleType())])
         pause = 60.0 * self.tasks / self.per_minute if self.per_minute else 0.0
@@ -213,7 +213,7 @@ class CallResolver:
                 answers, times = [], []
                 for column, samples in zip(batch["source_column"], batch["samples"]):
                     start = time.perf_counter()
-                    answers.append(self._ask({"colonne": column, "exemples": json.dumps(list(samples), ensure_ascii=False), "ontologie": listing}))
+                    answers.append(self._ask({"column": column, "samples": json.dumps(list(samples), ensure_ascii=False), "targets": listing}))
                     spent = time.perf_counter() - start
                     times.append(round(spent * 1000, 1))
                     time.sleep(max(pause - spent, 0.0))
@@ -258,10 +258,10 @@ def match_forced(columns: DataFrame, ontology=ONTOLOGY, tau: float = NGRAM_TAU,
     keep = [c for c in columns.columns if c != "samples"]
     scored = with_best_target(columns, ontology, encoder)
     above = F.col("score") >= tau
-    sign = F.when(above, "≥").otherwise("<")
+    sign = F.when(above, "not below").otherwise("below")
     return _result(
         scored, keep, target_uri=F.col("best_uri"), confidence=F.round("score", 4), method=F.lit(BY_ENCODER),
-        justification=F.format_string(f"cosinus=%.4f (%s τ={tau})", F.col("score"), sign), latency_ms=F.lit(0.0), calls=F.lit(0),
+        justification=F.format_string(f"similarity %.4f, %s {tau}", F.col("score"), sign), latency_ms=F.lit(0.0), calls=F.lit(0),
         above_tau=above,
     )
 
@@ -290,7 +290,7 @@ def match_resolver_only(columns: DataFrame, ontology=ONTOLOGY, resolver=Evidence
     return _result(
         rows, keep, target_uri=F.col("_uri"), confidence=F.when(given, F.round("_a.confiance", 4)).otherwise(0.0),
         method=F.lit(RESOLVER_ONLY),
-        justification=F.when(~F.col("_ask"), "Colonne vide.").when(given, F.col("_a.justification")).otherwise("Réponse invalide."),
+        justification=F.when(~F.col("_ask"), "no values to ask about").when(given, F.col("_a.justification")).otherwise("no usable answer"),
         latency_ms=F.col("latency_ms"), calls=F.col("_ask").cast("int"),
     )
 
@@ -311,8 +311,8 @@ def match_hybrid(
         target_uri=F.when(accepted, F.col("best_uri")).otherwise(F.col("_uri")),
         confidence=F.when(accepted, F.round("score", 4)).when(found, F.round("_a.confiance", 4)).otherwise(0.0),
         method=F.when(accepted, BY_ENCODER).when(found, BY_RESOLVER).otherwise(UNMATCHED),
-        justification=F.when(accepted, F.format_string(f"Similarité cosinus = %.4f ≥ seuil τ = {tau}", F.col("score")))
-        .when(found, F.col("_a.justification")).otherwise("Échec SBERT + LLM. Vérification manuelle requise."),
+        justification=F.when(accepted, F.format_string(f"similarity %.4f reaches {tau}", F.col("score")))
+        .when(found, F.col("_a.justification")).otherwise("neither pass found a target"),
         latency_ms=F.col("latency_ms"), calls=F.col("_ask").cast("int"),
         pass_no=F.when(accepted, 1).otherwise(2),
     )
@@ -435,11 +435,8 @@ def run_variants(
     return rates(counts)
 
 
-def compare_variants(scores: DataFrame) -> DataFrame:
-    """One row from the rows ``ord, variant, f1, llm_calls``: best variant, calls saved, F1 gaps.
-
-    The variants are, in order, encoder only, resolver only and hybrid.
-    """
+def _compared(scores: DataFrame, *more: Column) -> DataFrame:
+    """One row: best variant, calls saved, F1 gaps, and further aggregates of the same scan."""
 
     def of(i: int, column: str) -> Column:
         return F.max(F.when(F.col("ord") == i, F.col(column)))
@@ -447,32 +444,39 @@ def compare_variants(scores: DataFrame) -> DataFrame:
     wide = scores.agg(
         F.max_by("variant", F.struct("f1", -F.col("ord"))).alias("best_f1_variant"),
         *[of(i, "f1").alias(f"f1_{v}") for i, v in enumerate("abc")],
-        *[of(i, "llm_calls").alias(f"calls_{v}") for i, v in enumerate("abc")],
+        *[of(i, "llm_calls").alias(f"calls_{v}") for i, v in enumerate("abc")], *more,
     )
     saved = ratio((F.col("calls_b") - F.col("calls_c")) * 100.0, F.col("calls_b"))
-    return wide.select(
-        "best_f1_variant",
-        F.col("calls_a").alias("llm_calls_sbert_only"), F.col("calls_b").alias("llm_calls_llm_only"), F.col("calls_c").alias("llm_calls_hybrid"),
-        F.round(saved, 1).alias("reduction_hybrid_vs_llm_only_pct"),
-        F.round((F.col("f1_c") - F.col("f1_a")) * 100, 2).alias("f1_gain_hybrid_vs_sbert_pct"),
-        F.round((F.col("f1_c") - F.col("f1_b")) * 100, 2).alias("f1_delta_hybrid_vs_llm_pct"),
-    )
+    return wide.withColumns({
+        "llm_calls_sbert_only": F.col("calls_a"), "llm_calls_llm_only": F.col("calls_b"), "llm_calls_hybrid": F.col("calls_c"),
+        "reduction_hybrid_vs_llm_only_pct": F.round(saved, 1),
+        "f1_gain_hybrid_vs_sbert_pct": F.round((F.col("f1_c") - F.col("f1_a")) * 100, 2),
+        "f1_delta_hybrid_vs_llm_pct": F.round((F.col("f1_c") - F.col("f1_b")) * 100, 2),
+    })
 
 
-def comparison_report(scores: DataFrame) -> DataFrame:
-    """The comparison as one JSON document: summary per variant, call analysis, quality analysis."""
-    summary = scores.agg(
-        F.map_from_entries(
-            F.transform(
-                F.sort_array(F.collect_list(F.struct("ord", "variant", F.struct("precision", "recall", "f1", "llm_calls", "avg_latency_ms").alias("m")))),
-                lambda x: F.struct(x["variant"], x["m"]),
-            )
-        ).alias("summary")
-    )
-    compared = compare_variants(scores).select(
-        F.struct("llm_calls_sbert_only", "llm_calls_llm_only", "llm_calls_hybrid", "reduction_hybrid_vs_llm_only_pct").alias("finops_analysis"),
-        F.struct("f1_gain_hybrid_vs_sbert_pct", "f1_delta_hybrid_vs_llm_pct", "best_f1_variant").alias("quality_analysis"),
-    )
-    # both sides are a single row; the constant key keeps it an equi-join
-    both = summary.withColumn("_k", F.lit(1)).join(compared.withColumn("_k", F.lit(1)), "_k")
-    return both.select(F.to_json(F.struct("summary", "finops_analysis", "quality_analysis")).alias("document"))
+# The fields of a comparison report.
+_CALLS = ("llm_calls_sbert_only", "llm_calls_llm_only", "llm_calls_hybrid", "reduction_hybrid_vs_llm_only_pct")
+_GAPS = ("f1_gain_hybrid_vs_sbert_pct", "f1_delta_hybrid_vs_llm_pct")
+
+
+def compare_variants(scores: DataFrame) -> DataFrame:
+    """One row from the rows ``ord, variant, f1, llm_calls``: best variant, calls saved, F1 gaps.
+
+    The variants are, in order, encoder only, resolver only and hybrid.
+    """
+    return _compared(scores).select("best_f1_variant", *_CALLS, *_GAPS)
+
+
+def comparison_report(scores: DataFrame, timestamp: bool = False, elapsed_s: float | None = None) -> DataFrame:
+    """The comparison as one JSON document: summary per variant, call analysis, quality analysis; one aggregate.
+
+    With ``timestamp`` it tells when it was made, with ``elapsed_s`` how long the run took.
+    """
+    per_variant = F.struct("ord", "variant", F.struct("precision", "recall", "f1", "llm_calls", "avg_latency_ms").alias("m"))
+    row = _compared(scores, F.sort_array(F.collect_list(per_variant)).alias("_v"))
+    summary = F.map_from_entries(F.transform("_v", lambda x: F.struct(x["variant"], x["m"]))).alias("summary")
+    head = [F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss").alias("generated_at")] if timestamp else []
+    head += [F.lit(round(float(elapsed_s), 1)).alias("elapsed_s")] if elapsed_s is not None else []
+    parts = [*head, summary, F.struct(*_CALLS).alias("finops_analysis"), F.struct(*_GAPS, "best_f1_variant").alias("quality_analysis")]
+    return row.select(F.to_json(F.struct(*parts)).alias("document"))

@@ -223,17 +223,17 @@ answers AS (SELECT *, CASE WHEN list_contains(regexp_split_to_array(lower(source
   CASE WHEN list_contains(regexp_split_to_array(lower(source_column), '[^a-z0-9]+'), 'matricule') THEN 'alias matricule'
     WHEN list_contains(regexp_split_to_array(lower(source_column), '[^a-z0-9]+'), 'famille') THEN 'alias famille' ELSE 'values' END AS why FROM scored),
 forced AS (SELECT src, ord, source_column, best_uri AS target_uri, round(score, 4) AS confidence, 'SBERT' AS method,
-  printf('cosinus=%.4f (%s τ={NGRAM_TAU})', score, CASE WHEN score >= {NGRAM_TAU} THEN '≥' ELSE '<' END) AS justification, 0 AS calls, score >= {NGRAM_TAU} AS above_tau FROM scored),
+  printf('similarity %.4f, %s {NGRAM_TAU}', score, CASE WHEN score >= {NGRAM_TAU} THEN 'not below' ELSE 'below' END) AS justification, 0 AS calls, score >= {NGRAM_TAU} AS above_tau FROM scored),
 resolver AS (SELECT src, ord, source_column, CASE WHEN len(samples) = 0 THEN 'UNMATCHED' ELSE uri END AS target_uri,
   CASE WHEN len(samples) = 0 OR uri = 'UNMATCHED' THEN 0 WHEN starts_with(why, 'alias') THEN 0.9 ELSE 0.7 END::DOUBLE AS confidence, 'LLM_ONLY' AS method,
-  CASE WHEN len(samples) = 0 THEN 'Colonne vide.' WHEN uri = 'UNMATCHED' THEN 'no evidence' ELSE why END AS justification,
+  CASE WHEN len(samples) = 0 THEN 'no values to ask about' WHEN uri = 'UNMATCHED' THEN 'no evidence' ELSE why END AS justification,
   CASE WHEN len(samples) = 0 THEN 0 ELSE 1 END AS calls FROM answers),
 hybrid AS (SELECT src, ord, source_column,
   CASE WHEN score >= {NGRAM_TAU} THEN best_uri WHEN len(samples) = 0 THEN 'UNMATCHED' ELSE uri END AS target_uri,
   CASE WHEN score >= {NGRAM_TAU} THEN round(score, 4) WHEN len(samples) = 0 OR uri = 'UNMATCHED' THEN 0 WHEN starts_with(why, 'alias') THEN 0.9 ELSE 0.7 END AS confidence,
   CASE WHEN score >= {NGRAM_TAU} THEN 'SBERT' WHEN len(samples) = 0 OR uri = 'UNMATCHED' THEN 'UNMATCHED' ELSE 'LLM' END AS method,
-  CASE WHEN score >= {NGRAM_TAU} THEN printf('Similarité cosinus = %.4f ≥ seuil τ = {NGRAM_TAU}', score)
-    WHEN len(samples) = 0 OR uri = 'UNMATCHED' THEN 'Échec SBERT + LLM. Vérification manuelle requise.' ELSE why END AS justification,
+  CASE WHEN score >= {NGRAM_TAU} THEN printf('similarity %.4f reaches {NGRAM_TAU}', score)
+    WHEN len(samples) = 0 OR uri = 'UNMATCHED' THEN 'neither pass found a target' ELSE why END AS justification,
   CASE WHEN score >= {NGRAM_TAU} OR len(samples) = 0 THEN 0 ELSE 1 END AS calls, CASE WHEN score >= {NGRAM_TAU} THEN 1 ELSE 2 END AS pass_no FROM answers),
 {_GOLD_SQL},
 runs AS (SELECT 0 AS vo, 'A_SBERT_Only' AS variant, src, source_column, target_uri, calls FROM forced

@@ -72,12 +72,12 @@ def test_resolver_calls(spark, columns, tmp_path):
     def call(payload):
         import os
 
-        name = payload["colonne"]
+        name = payload["column"]
         if name == "Matricule_RH":
             if len(os.listdir(marks)) < 2:
                 open(f"{marks}/{len(os.listdir(marks))}", "w").close()
                 raise ConnectionError("busy")
-            assert json.loads(payload["exemples"]) == ["v1", "v2"] and "ex:employeeId" in payload["ontologie"]
+            assert json.loads(payload["samples"]) == ["v1", "v2"] and "ex:employeeId" in payload["targets"]
             return [{"cible": "ex:employeeId", "confiance": 0.87654, "justification": "id"}]
         if name == "salaire_mensuel":
             return {"cible": "ex:unknown", "confiance": 0.9, "justification": "?"}
@@ -89,7 +89,7 @@ def test_resolver_calls(spark, columns, tmp_path):
         assert (got[c]["target_uri"], got[c]["method"], got[c]["confidence"]) == (E.UNMATCHED, E.UNMATCHED, 0.0)
     assert [got[c]["calls"] for c in ("ID_Client", "segment", "date_embauche")] == [0, 0, 1]
     only = {r["source_column"]: r for r in M.match_resolver_only(columns, resolver=M.CallResolver(call, min_wait=0.01)).collect()}
-    assert only["segment"]["justification"] == "Colonne vide." and {r["method"] for r in only.values()} == {"LLM_ONLY"}
+    assert only["segment"]["justification"] == "no values to ask about" and {r["method"] for r in only.values()} == {"LLM_ONLY"}
     never = M.CallResolver(lambda p: (_ for _ in ()).throw(TimeoutError()), attempts=2, min_wait=0.001)
     assert {r["target_uri"] for r in M.match_resolver_only(columns, resolver=never).collect()} == {E.UNMATCHED}
 

@@ -76,7 +76,7 @@ def test_calls_are_made_once_and_spread(spark, tmp_path):
 
     def call(payload):
         with open(f"{folder}/{TaskContext.get().partitionId()}", "a") as f:
-            f.write(payload["colonne"] + "\n")
+            f.write(payload["column"] + "\n")
         return {"cible": "ex:fullName", "confiance": 0.5, "justification": "ok"}
 
     rows = [(i, f"zz{i % 40}", ["1"]) for i in range(200)] + [(200, "empty", [])]
@@ -98,3 +98,26 @@ def test_type_rules(spark):
     rules = M.mapping_from_matches(results, "src", classes={"t": ["ex:A", "ex:B"], "x": ["ex:C"]}).collect()
     assert sorted((r["predicate"], r["object_template"], r["term_type"]) for r in rules) == [
         ("ex:employeeId", "$(id)", "literal"), ("ex:fullName", "$(n)", "literal"), ("rdf:type", "ex:A", "iri"), ("rdf:type", "ex:B", "iri")]
+
+
+def test_reports_are_written(spark, tmp_path):
+    """A report with its time, from one scan of the scores, as a file; and the results of a table as another."""
+    import json
+
+    from graphloom.sources.tables import write_documents
+
+    scores = spark.createDataFrame(
+        [(i, v, 0.5, 0.5, f1, calls, 0.0) for i, (v, f1, calls) in enumerate([("A", 0.5, 0), ("B", 0.75, 8), ("C", 0.75, 2)])],
+        "ord int, variant string, precision double, recall double, f1 double, llm_calls long, avg_latency_ms double",
+    )
+    report = M.comparison_report(scores, timestamp=True, elapsed_s=1.26)
+    assert report._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") <= 1
+    write_documents(report, str(tmp_path / "report"))
+    (line,) = [x["value"] for x in spark.read.text(str(tmp_path / "report")).collect()]
+    got = json.loads(line)
+    assert got["elapsed_s"] == 1.3 and len(got["generated_at"]) == 19 and list(got["summary"]) == ["A", "B", "C"]
+    assert got["finops_analysis"]["reduction_hybrid_vs_llm_only_pct"] == 75.0 and got["quality_analysis"]["best_f1_variant"] == "B"
+    results = spark.createDataFrame([(0, "id", "ex:a", 0.9, "SBERT", "j"), (1, "x", "UNMATCHED", 0.0, "UNMATCHED", "k")], "ord int, source_column string, target_uri string, confidence double, method string, justification string")
+    write_documents(M.results_envelope(results.withColumn("calls", F.lit(0))), str(tmp_path / "results"))
+    (line,) = [x["value"] for x in spark.read.text(str(tmp_path / "results")).collect()]
+    assert '"sbert_count":1' in line and '"unmatched":1' in line
