@@ -20,7 +20,7 @@ from graphloom.sources.ntriples import write_ntriples
 
 HEADLINE = [
     "quality_report", "duplicate_rows", "profile_numeric", "profile_categorical", "profile_table", "customer_revenue", "block_sizes",
-    "blocking_pairs", "u_probabilities_exact", "scored_pairs", "scored_pairs_two_rules", "sameas_links", "graph_union", "butterfly", "shape_violations", "stored_pattern",
+    "blocking_pairs", "u_probabilities_exact", "scored_pairs", "sameas_links", "graph_union", "butterfly", "shape_violations", "stored_pattern",
     "match_hybrid", "variant_comparison", "embedding_top1", "json_answer_parse",
 ]
 
