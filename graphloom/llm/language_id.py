@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from graphloom.llm.words import mix, signed, steps
+from graphloom.llm.words import free_name, mix, signed, steps
 
 ORDER = 4
 LEAST_SHARE = 1e-6
@@ -240,10 +240,20 @@ def train(docs: DataFrame, least_share: float = LEAST_SHARE) -> Model | None:
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """``docs`` with ``lang_pred``, ``score`` (share of the chosen language among all, 0 to 1) and ``accepted``; reads ``text`` alone."""
-    schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("accepted", BooleanType())])
-    if len(set(schema.names)) < len(schema.names):
+    """``docs`` with ``lang_pred``, ``score`` (share of the chosen language among all, 0 to 1) and ``accepted``; reads ``text`` alone.
+
+    A table that has a column of one of these names is refused with an error; :func:`identified` takes any names.
+    """
+    names = ["lang_pred", "score", "accepted"]
+    if any(free_name(docs.columns, c) != c for c in names):
         raise ValueError("the table has a column named lang_pred, score or accepted")
+    return _judged(docs, model, names)
+
+
+def _judged(docs: DataFrame, model: Model | None, names: list[str]) -> DataFrame:
+    """``docs`` with language, score and verdict under these names."""
+    kinds = [StringType(), DoubleType(), BooleanType()]
+    schema = StructType([*docs.schema.fields, *[StructField(c, k) for c, k in zip(names, kinds)]])
     shared = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(model))  # a plain broadcast would need the package on the workers
 
     def judge(batches):
@@ -271,5 +281,6 @@ def held_out(doc_id):
 
 
 def identified(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose text is accepted as one of the languages that ``docs`` itself teaches; columns as given."""
-    return predict(docs, train(docs.select("text", "lang"))).where("accepted").select(*docs.columns)
+    """The rows of ``docs`` whose text is accepted as one of the languages that ``docs`` itself teaches; columns as given, of any names."""
+    names = [free_name(docs.columns, c) for c in ("lang_pred", "score", "accepted")]
+    return _judged(docs, train(docs.select("text", "lang")), names).where(F.col(names[-1])).select(*docs.columns)

@@ -2,16 +2,18 @@
 
 The words of the mix are cut into blocks of ``block`` words. Blocks are seats: sources get them one by one by the
 highest quotient target / (2 * seats + 1), and a source's seats are handed on to its shards (documents dealt by
-a seeded digest, about ``shard_words`` words each) by the same rule, which gives an integer quota per shard. In
+a seeded digest, about ``shard_words`` words each) by the same rule, which gives an integer quota per shard: the
+quotient of the last seat is narrowed for all sources at once, by aggregates over the shards. In
 a shard the documents follow each other in seeded order as one stream of blocks; each block is taken
 quota // blocks times, and of the rest a seeded systematic choice once more. Where a document's words lie in the stream
 is a running sum within the shard, so no block is ever a row.
 
-The driver sees one row per source (name and words), nothing per document. Sources of any size spread over
+The driver sees rows per source (name, words, seats that some quotients give), nothing per document or shard. Sources of any size spread over
 shards, so a source with a third of all rows is no hot group.
 
 Empty cases: a null text has no words, a null source is a source of its own and the last one, a row without
-``doc_id`` is dealt as any other; repeated rows each count. An empty table gives an empty mix. Reruns agree.
+``doc_id`` is dealt as any other; repeated rows each count and are each taken by their own decision. An empty table
+gives an empty mix. Reruns agree. The columns of ``docs`` may have any names.
 """
 
 from __future__ import annotations
@@ -22,14 +24,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import AtomicType, LongType, StructField, StructType
 
 from graphloom.llm.words import Words, steps
 
 BLOCK = 16
+#: Quotients tried at once for each source while the seats of its shards are counted.
+TRIES = 32
 SHARD_WORDS = 1_000_000
 WEIGHTS = (3, 1, 2)
 SEED = "mix"
+_TAKE = ["passes", "rest", "n_blocks", "start", "block"]
 
 
 def targets(sizes: Sequence[int], weights: Sequence[float], budget: float, limit: float = 2.0) -> list[float]:
@@ -92,42 +97,96 @@ def mix(docs: DataFrame, share: float = 1.5, weights: Sequence[int] = WEIGHTS, b
     The columns from ``passes`` on tell which words are taken: all of them ``passes`` times, and those in
     chosen blocks once more (see :func:`chosen`).
     """
-    spark = docs.sparkSession
     words = sized(docs)
+    return _placed(words, _source_table(words, share, weights, block, shard_words), block).select(
+        "doc_id", "source", "size", "source_size", "target", "taken", "passes", "rest", "n_blocks", "start", "block"
+    )
+
+
+def _source_table(words: DataFrame, share: float, weights: Sequence[int], block: int, shard_words: int) -> DataFrame:
+    """Words, target, quota of blocks and number of shards of each source."""
     found = sorted(((r["source"], r["size"]) for r in words.groupBy("source").agg(F.sum("size").alias("size")).collect()), key=lambda r: (r[0] is None, r[0] or ""))
     sizes = [n for _, n in found]
     budget = share * sum(sizes)
     goal = targets(sizes, [weights[i % len(weights)] for i in range(len(found))], budget)
     quota = seats(goal, round(budget / block))
-    table = spark.createDataFrame(
+    return words.sparkSession.createDataFrame(
         [(s, n, t, q, max(1, -(-n // shard_words))) for (s, n), t, q in zip(found, goal, quota)],
         "_source string, source_size long, target double, quota long, shards long",
     )
-    placed = words.join(table, words["source"].eqNullSafe(table["_source"])).drop("_source")
+
+
+def _shard_seats(shard: DataFrame) -> DataFrame:
+    """``source, shard, shard_size, seats`` for ``shard(source, shard, shard_size, quota)``: quotas by the highest quotients.
+
+    Seats that are left over are ties of the last quotient and go to the first shards that have it; only these are ranked.
+    """
+    spark = shard.sparkSession
+    shard = shard.where("shard_size > 0 and quota > 0").persist()
+    known = shard.groupBy("source").agg(F.sum("shard_size").alias("size"), F.count("*").alias("n"), F.max("shard_size").alias("top"), F.first("quota").alias("quota")).collect()
+    quota = {r["source"]: r["quota"] for r in known}
+    #: too many seats at the first bound, enough or too few at the second: s seats of v words have v / d within 2 s - 1 and 2 s + 1
+    bounds = {
+        r["source"]: (r["size"] / (2.0 * r["quota"] + r["n"] + 3), r["size"] / (2.0 * r["quota"] - r["n"] - 1) if 2 * r["quota"] > r["n"] + 1 else 2.0 * r["top"]) for r in known
+    }
+
+    def given(quotient):
+        """Seats whose quotient is above ``quotient``."""
+        return F.greatest(F.ceil((F.col("shard_size") / quotient - 1) / 2), F.lit(0))
+
+    def of(values: dict, names: list[str]) -> DataFrame:
+        """The shards of these sources with numbers of their source."""
+        table = spark.createDataFrame([(k, *map(float, v)) for k, v in values.items()], "_source string, " + ", ".join(f"{n} double" for n in names))
+        return shard.join(F.broadcast(table), shard["source"].eqNullSafe(table["_source"])).drop("_source")
+
+    names = [f"_q{j}" for j in range(TRIES)]
+    last: dict[str | None, tuple[float, float, int]] = {}
+    while bounds:
+        tried = {}
+        for k, (low, high) in list(bounds.items()):
+            between = [x for x in (low + (high - low) * j / (TRIES + 1) for j in range(1, TRIES + 1)) if low < x < high]
+            tried[k] = (between or [high]) + [high] * (TRIES - max(len(between), 1))
+        for r in of(tried, names).groupBy("source").agg(*[F.sum(given(F.col(n))).alias(n) for n in names]).collect():
+            k = r["source"]
+            low, high = bounds[k]
+            n = {x: r[name] for x, name in zip(tried[k], names)}
+            enough = min((x for x in n if n[x] <= quota[k]), default=high)
+            low = max((x for x in n if n[x] > quota[k]), default=low)
+            bounds[k] = (low, enough)
+            # no number lies between the bounds, or no seat is missing
+            if set(n) == {high} or n.get(enough) == quota[k]:
+                last[k] = (enough, low, quota[k] - n[enough])
+                del bounds[k]
+
+    seated = of(last, ["_last", "_below", "_left"]) if last else shard.selectExpr("*", "0D AS _last", "0D AS _below", "0D AS _left")
+    seated = seated.withColumn("seats", given(F.col("_last")).cast("long"))
+    tied = seated.where((F.col("_left") > 0) & (given(F.col("_below")) > F.col("seats")))
+    order = Window.partitionBy("source").orderBy((F.col("shard_size") / (2 * F.col("seats") + 1)).desc(), "shard")
+    more = tied.withColumn("_place", F.row_number().over(order)).where("_place <= _left").select(F.col("source").alias("_s"), F.col("shard").alias("_h"))
+    seated = seated.join(more, seated["source"].eqNullSafe(more["_s"]) & (seated["shard"] == more["_h"]), "left")
+    return seated.select("source", "shard", "shard_size", (F.col("seats") + F.col("_h").isNotNull().cast("long")).alias("seats"))
+
+
+def _placed(rows: DataFrame, table: DataFrame, block: int, last: Sequence = ()) -> DataFrame:
+    """``rows(doc_id, source, size, ...)`` with target, words taken and place in their shard's stream.
+
+    Rows of one id and size follow each other by ``last``.
+    """
+    placed = rows.join(table, rows["source"].eqNullSafe(table["_source"])).drop("_source")
     placed = placed.withColumn("shard", _number(_digest(F.col("doc_id"), "shard")) % F.col("shards"))
+    shard = placed.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("quota").alias("quota"))
+    shard = _shard_seats(shard).withColumn("n_blocks", F.ceil(F.col("shard_size") / block))
+    shard = shard.select(F.col("source").alias("_s"), F.col("shard").alias("_h"), "n_blocks", F.least(F.col("seats"), 2 * F.col("n_blocks")).alias("seats"))
 
-    # a source's seats, handed on to its shards: rounded shares, then the few seats over or under by quotient
-    shard = placed.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_size").alias("source_size"), F.first("quota").alias("quota"))
-    shard = shard.withColumn("base", F.floor(F.col("shard_size") * F.col("quota") / F.greatest("source_size", F.lit(1)) + 0.5))
-    all_of = Window.partitionBy("source")
-    shard = shard.withColumn("over", F.sum("base").over(all_of) - F.col("quota"))
-    up = F.row_number().over(all_of.orderBy((F.col("shard_size") / (2 * F.col("base") + 1)).desc(), "shard"))
-    down = F.row_number().over(all_of.orderBy(F.when(F.col("base") > 0, F.col("shard_size") / (2 * F.col("base") - 1)).asc_nulls_last(), "shard"))
-    shard = shard.withColumn("up", up).withColumn("down", down)
-    shard = shard.withColumn("n_blocks", F.ceil(F.col("shard_size") / block))
-    given = F.col("base") + (F.col("up") <= -F.col("over")).cast("long") - (F.col("down") <= F.col("over")).cast("long")
-    shard = shard.withColumn("seats", F.least(F.greatest(given, F.lit(0)), 2 * F.col("n_blocks")))
-    shard = shard.select(F.col("source").alias("_s"), F.col("shard").alias("_h"), "n_blocks", "seats")
-
-    stream = Window.partitionBy("source", "shard").orderBy(_digest(F.col("doc_id"), "order"), "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    stream = Window.partitionBy("source", "shard").orderBy(_digest(F.col("doc_id"), "order"), "doc_id", "size", *last).rowsBetween(Window.unboundedPreceding, 0)
     placed = placed.withColumn("end", F.sum("size").over(stream))
-    placed = placed.join(shard, placed["source"].eqNullSafe(shard["_s"]) & (placed["shard"] == shard["_h"])).drop("_s", "_h")
+    # a shard without seats or words has no row
+    placed = placed.join(shard, placed["source"].eqNullSafe(shard["_s"]) & (placed["shard"] == shard["_h"]), "left").drop("_s", "_h")
+    placed = placed.fillna(0, ["n_blocks", "seats"])
     placed = placed.withColumn("passes", F.expr("IF(n_blocks > 0, seats DIV n_blocks, 0)")).withColumn("rest", F.expr("IF(n_blocks > 0, seats % n_blocks, 0)"))
     placed = placed.withColumn("start", F.col("end") - F.col("size"))
     more = _before(F.col("end"), block) - _before(F.col("start"), block)
-    return placed.withColumn("taken", F.col("passes") * F.col("size") + more).select(
-        "doc_id", "source", "size", "source_size", "target", "taken", "passes", "rest", "n_blocks", "start", F.lit(block).cast("long").alias("block")
-    )
+    return placed.withColumn("taken", F.col("passes") * F.col("size") + more).withColumn("block", F.lit(block).cast("long"))
 
 
 def _before(position, block: int):
@@ -144,53 +203,62 @@ def chosen(start: int, size: int, rest: int, n_blocks: int, block: int) -> np.nd
     return at(j + 1) > at(j)
 
 
-def mix_documents(docs: DataFrame, share: float = 1.5, weights: Sequence[int] = WEIGHTS) -> DataFrame:
+def mix_documents(docs: DataFrame, share: float = 1.5, weights: Sequence[int] = WEIGHTS, block: int = BLOCK, shard_words: int = SHARD_WORDS) -> DataFrame:
     """The mix itself, with the columns of ``docs``: each document as many times as it is taken whole, and once
     more, cut down to the words of its chosen blocks, where a part is taken again. ``n_chars`` is set anew.
 
-    Rows of equal ``doc_id``, ``source`` and size share one decision. Documents without words stay once.
+    Each row carries its own decision, so repeated rows and rows without ``doc_id`` are taken as :func:`mix` counts them.
+    Documents without words stay once.
     """
-    names = docs.columns
-    decided = mix(docs, share, weights).groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.col("size").alias("_size")).agg(
-        *[F.first(F.struct("passes", "rest", "n_blocks", "start", "block")).alias("_take")]
-    )
-    schema = docs.schema
+    names, schema = docs.columns, docs.schema
 
     def count(batches):
-        for step in steps(batches):
-            yield step.append_column("_size", pa.array(Words(step.column("text")).counts()))
+        for batch in batches:
+            for step in steps([batch.append_column("text", batch.column("row").field("text"))]):
+                yield step.drop_columns(["text"]).append_column("size", pa.array(Words(step.column("text")).counts()))
 
     def take(batches):
-        for step in steps(batches):
-            words = Words(step.column("text"))
-            rows, texts = [], []
-            for i, t in enumerate(step.column("_take").to_pylist()):
-                a, b = words.offsets[i], words.offsets[i + 1]
-                whole = step.column("text")[i].as_py()
-                if a == b:
-                    rows.append(i)
-                    texts.append(whole)
-                    continue
-                rows += [i] * t["passes"]
-                texts += [whole] * t["passes"]
-                pick = chosen(t["start"], int(b - a), t["rest"], t["n_blocks"], t["block"])
-                if pick.all():
-                    rows.append(i)
-                    texts.append(whole)
-                elif pick.any():
-                    edge = np.flatnonzero(np.diff(np.concatenate([[0], pick.astype(np.int8), [0]])))
-                    spans = [words.data[words.starts[a + x] : words.ends[a + y - 1]].tobytes().decode() for x, y in zip(edge[::2], edge[1::2])]
-                    rows.append(i)
-                    texts.append("\n".join(spans))
-            columns = {c: step.column(c).take(pa.array(rows, pa.int64())) for c in names}
-            columns["text"] = pa.array(texts, step.column("text").type)
-            if "n_chars" in columns:
-                columns["n_chars"] = pa.array([None if x is None else len(x) for x in texts], pa.int64()).cast(step.column("n_chars").type)
-            yield pa.RecordBatch.from_arrays(list(columns.values()), names)
-
-    counted = docs.mapInArrow(count, StructType([*schema.fields, StructField("_size", LongType())]))
-    same = counted["doc_id"].eqNullSafe(decided["_id"]) & counted["source"].eqNullSafe(decided["_src"]) & (counted["_size"] == decided["_size"])
-    return counted.join(decided, same).select(*names, "_take").mapInArrow(take, schema)
+        for batch in batches:
+            row = batch.column("row")
+            flat = pa.RecordBatch.from_arrays([*row.flatten(), *(batch.column(c) for c in _TAKE)], [f"{i}" for i in range(len(names) + len(_TAKE))])
+            for step in steps([flat], str(names.index("text"))):
+                yield taken(step)
+
+    def taken(step):
+        columns = dict(zip(names, step.columns))
+        text = columns["text"]
+        words = Words(text)
+        rows, texts = [], []
+        for i, (passes, rest, n_blocks, start, block) in enumerate(zip(*(c.to_pylist() for c in step.columns[len(names) :]))):
+            a, b = words.offsets[i], words.offsets[i + 1]
+            whole = text[i].as_py()
+            if a == b:
+                rows.append(i)
+                texts.append(whole)
+                continue
+            rows += [i] * passes
+            texts += [whole] * passes
+            pick = chosen(start, int(b - a), rest, n_blocks, block)
+            if pick.all():
+                rows.append(i)
+                texts.append(whole)
+            elif pick.any():
+                edge = np.flatnonzero(np.diff(np.concatenate([[0], pick.astype(np.int8), [0]])))
+                spans = [words.data[words.starts[a + x] : words.ends[a + y - 1]].tobytes().decode() for x, y in zip(edge[::2], edge[1::2])]
+                rows.append(i)
+                texts.append("\n".join(spans))
+        columns = {c: v.take(pa.array(rows, pa.int64())) for c, v in columns.items()}
+        columns["text"] = pa.array(texts, text.type)
+        if "n_chars" in columns:
+            columns["n_chars"] = pa.array([None if x is None else len(x) for x in texts], pa.int64()).cast(step.column(names.index("n_chars")).type)
+        return pa.RecordBatch.from_arrays(list(columns.values()), names)
+
+    whole = docs.select("doc_id", "source", F.struct(*[docs[c] for c in names]).alias("row"))
+    counted = whole.mapInArrow(count, StructType([*whole.schema.fields, StructField("size", LongType())]))
+    # equal ids and sizes go by the text, then by the plain columns
+    plain = [F.col("row").getField(f.name) for f in schema.fields if f.name != "text" and isinstance(f.dataType, AtomicType)]
+    placed = _placed(counted, _source_table(sized(docs), share, weights, block, shard_words), block, [F.xxhash64(F.col("row").getField("text")), *plain])
+    return placed.select("row", *_TAKE).mapInArrow(take, schema)
 
 
 SQL = f"""
@@ -220,23 +288,22 @@ src AS (
   FROM s JOIN fill USING (rank) LEFT JOIN quota USING (rank)
 ),
 placed AS (
-  SELECT w.*, source_size, target, quota, CAST('0x' || substr(md5('{SEED}/shard/' || COALESCE(doc_id::VARCHAR, 'null')), 1, 8) AS BIGINT) % shards AS shard
+  SELECT w.*, source_size, target, quota, shards, CAST('0x' || substr(md5('{SEED}/shard/' || COALESCE(doc_id::VARCHAR, 'null')), 1, 8) AS BIGINT) % shards AS shard
   FROM w JOIN src ON w.source IS NOT DISTINCT FROM src.source
 ),
 shard0 AS (
-  SELECT source, shard, SUM(size)::BIGINT AS shard_size, any_value(quota) AS quota, floor(SUM(size) * any_value(quota) / greatest(any_value(source_size), 1) + 0.5)::BIGINT AS base
+  SELECT source, shard, SUM(size)::BIGINT AS shard_size, any_value(quota) AS quota, any_value(source_size) AS source_size, any_value(shards) AS shards
   FROM placed GROUP BY source, shard
 ),
-shard1 AS (SELECT *, (SUM(base) OVER (PARTITION BY source) - quota)::BIGINT AS over FROM shard0),
-shard2 AS (
-  SELECT *, row_number() OVER (PARTITION BY source ORDER BY shard_size / (2 * base + 1) DESC, shard) AS up,
-    row_number() OVER (PARTITION BY source ORDER BY CASE WHEN base > 0 THEN shard_size / (2 * base - 1) END ASC NULLS LAST, shard) AS down
-  FROM shard1
+shard1 AS (
+  SELECT source, shard, quota, shard_size / (2 * x + 1) AS q
+  FROM shard0, LATERAL (SELECT unnest(range(CAST(ceil(shard_size * (2.0::DOUBLE * quota + shards + 3) / greatest(source_size, 1) / 2) AS BIGINT) + 2)) AS x) WHERE shard_size > 0
 ),
+shard2 AS (SELECT source, shard, quota, row_number() OVER (PARTITION BY source ORDER BY q DESC, shard) AS place FROM shard1),
+won AS (SELECT source, shard, COUNT(*) AS seats FROM shard2 WHERE place <= quota GROUP BY source, shard),
 shard3 AS (
-  SELECT source, shard, ceil(shard_size / {BLOCK})::BIGINT AS n_blocks,
-    least(greatest(base + (up <= -over)::BIGINT - (down <= over)::BIGINT, 0), 2 * ceil(shard_size / {BLOCK}))::BIGINT AS seats
-  FROM shard2
+  SELECT s.source, s.shard, ceil(shard_size / {BLOCK})::BIGINT AS n_blocks, least(COALESCE(seats, 0), 2 * ceil(shard_size / {BLOCK}))::BIGINT AS seats
+  FROM shard0 s LEFT JOIN won ON won.shard = s.shard AND won.source IS NOT DISTINCT FROM s.source
 ),
 stream AS (
   SELECT *, (SUM(size) OVER (PARTITION BY source, shard ORDER BY md5('{SEED}/order/' || COALESCE(doc_id::VARCHAR, 'null')), doc_id, size, r ROWS UNBOUNDED PRECEDING))::BIGINT AS e FROM placed

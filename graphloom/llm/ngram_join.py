@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.components import components
-from graphloom.llm.words import Words, groups, mix, parts, shingles, signed, steps
+from graphloom.llm.words import Words, free_name, groups, mix, parts, shingles, signed, steps
 from graphloom.session import scratch_path
 
 BLOCK = 512
@@ -392,11 +392,13 @@ def _orphan_texts(nameless: DataFrame, size: int, frequent, orphans: DataFrame)
 def keep_first(docs: DataFrame, size: int = 5, percent: int = 80, share: float = 1e-4) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each component the row with the smallest ``doc_id``.
 
-    Of rows with one ``doc_id`` and one text one stays. Rows without words or without ``doc_id`` stay.
+    Of rows with one ``doc_id`` and one text one stays. Rows without words or without ``doc_id`` stay. Further columns
+    may have any names.
     """
-    result = near_duplicates(docs, size, percent, share)
-    kept = result.where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
+    result = near_duplicates(docs.select("doc_id", "text"), size, percent, share)
+    kept = result.where("doc_id = component_id").select("doc_id").distinct()
     named = docs.where("doc_id is not null")
+    place = free_name(docs.columns, "row")
     row = F.row_number().over(Window.partitionBy("doc_id", "text").orderBy("doc_id"))
-    staying = named.join(kept, named["doc_id"] == kept["_id"]).drop("_id").withColumn("_row", row).where("_row = 1").drop("_row")
+    staying = named.join(kept, "doc_id", "left_semi").withColumn(place, row).where(F.col(place) == 1).drop(place)
     return staying.unionByName(docs.where("doc_id is null"))
