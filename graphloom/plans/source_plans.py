@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from graphloom.plans.people import SQL_SOURCES, sources, table
 from graphloom.session import scratch_path
 from graphloom.sources.recorded import read_csv_recorded, read_ntriples_recorded
+from graphloom.sources.split_csv import read_csv_split
 from graphloom.sources.tables import convert_table, load_source, write_csv
 from graphloom.sources.xlsx import read_xlsx, write_xlsx
 
@@ -26,6 +27,13 @@ def _csv_documents(spark, d):
     return load_source(spark, path)
 
 
+def _csv_split(spark, d):
+    """The same whole texts, each file read by as many tasks as it has splits."""
+    path = scratch_path(spark, "documents") + ".csv"
+    write_csv(table(spark, d, "documents").select("doc_id", "lang", "text"), path)
+    return read_csv_split(spark, path)
+
+
 def _latin1(spark, d):
     """One folder, half of its rows in UTF-8 files and half in Latin-1 files."""
     path = scratch_path(spark, "mixed")
@@ -53,6 +61,7 @@ def _xlsx_to_csv(spark, d):
 QUERIES = {
     "csv_roundtrip": _csv,
     "csv_documents_roundtrip": _csv_documents,
+    "csv_documents_split": _csv_split,
     "latin1_roundtrip": _latin1,
     "xlsx_roundtrip": _xlsx,
     "xlsx_to_csv": _xlsx_to_csv,
@@ -63,6 +72,7 @@ _CUSTOMER_SQL = "SELECT " + ", ".join(f"{c}::VARCHAR AS {c}" for c in CUSTOMER)
 ORACLE = {
     "csv_roundtrip": _CUSTOMER_SQL,
     "csv_documents_roundtrip": "SELECT doc_id::VARCHAR AS doc_id, lang, text FROM documents",
+    "csv_documents_split": "SELECT doc_id::VARCHAR AS doc_id, lang, text FROM documents",
     "latin1_roundtrip": f"WITH {SQL_SOURCES.strip()} SELECT * EXCLUDE (src, pid) FROM src_a",
     "xlsx_roundtrip": _CUSTOMER_SQL,
     "xlsx_to_csv": f"WITH {SQL_SOURCES.strip()} SELECT * EXCLUDE (src, pid) FROM src_b",
