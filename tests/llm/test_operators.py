@@ -326,7 +326,7 @@ def test_archives_awkward(spark):
 # 7
 
 
-def test_kneser_ney():
+def test_kneser_ney(spark):
     texts = [("aa", "abab abcab!"), ("aa", "bca bac, Ab"), ("bb", "xyx yzz abz"), ("bb", "zzxy  y")]
     counts = {}
     for lang, t in texts:
@@ -335,14 +335,16 @@ def test_kneser_ney():
         for i in range(3, len(padded)):
             counts.setdefault(lang, collections.Counter())[padded[i - 3 : i + 1]] += 1
     pack = lambda g: sum(ord(c) << (16 * (len(g) - 1 - i)) for i, c in enumerate(g))
-    counted = [(np.array(sorted(map(pack, c)), np.uint64), np.array([n for _, n in sorted((pack(g), n) for g, n in c.items())], float)) for c in counts.values()]
-    model = language_id.estimate(list(counts), counted)
+    model = language_id.train(spark.createDataFrame(texts, "lang string, text string"))
+    asked = [*counts["aa"], *counts["bb"], "qqqq", "abcq", "xabc"]
+    grams = spark.createDataFrame([(pack(g),) for g in set(asked)], "gram long")
+    scored = {r.gram: r.logs for r in language_id.scores(model, grams).collect()}
     kinds = len({g[-1] for c in counts.values() for g in c}) + 1
     for i, c in enumerate(counts.values()):
         by = {4: c}
         for order in (3, 2, 1):
             by[order] = collections.Counter(g[1:] for g in by[order + 1])
-        cut = {o: language_id._discount(np.array(list(x.values()))) for o, x in by.items()}
+        cut = {o: language_id._discount(sum(n == 1 for n in x.values()), sum(n == 2 for n in x.values())) for o, x in by.items()}
 
         def p(gram, order):
             gram = gram[-order:]
@@ -353,8 +355,12 @@ def test_kneser_ney():
             different = sum(g[:-1] == gram[:-1] for g in by[order])
             return max(by[order][gram] - cut[order], 0) / total + cut[order] * different / total * low
 
-        for gram in [*counts["aa"], *counts["bb"], "qqqq", "abcq", "xabc"]:
-            assert model.score(np.array([pack(gram)], np.uint64))[0, i] == pytest.approx(math.log(p(gram, 4)), abs=1e-4)
+        for gram in asked:
+            assert scored[pack(gram)][i] == pytest.approx(math.log(p(gram, 4)), abs=1e-4)
+        # the calibration holds every run, however rare
+        surprise = {other: sum(n * -math.log(p(g, 4)) for g, n in c.items()) / sum(c.values()) for other, c in counts.items()}
+        own = surprise.pop(model.languages[i])
+        assert model.mean[i] == pytest.approx(own, abs=1e-4) and model.margin[i] == pytest.approx(max((min(surprise.values()) - own) / 2, 0.5), abs=1e-4)
 
 
 def test_held_out_accuracy(spark, small):
@@ -374,6 +380,24 @@ def test_language_id_awkward(spark, awkward, empty, small):
     assert [r.accepted for r in language_id.predict(noise, model).collect()] == [False, False]
 
 
+def test_language_id_in_chunks(spark, awkward, empty, small, monkeypatch):
+    monkeypatch.setattr(language_id, "CHUNK", 50_000)
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    model = language_id.train(docs)
+    for rows in (docs, awkward, empty):
+        one, many = (sorted(language_id.predict(rows, model, shared_bytes=n).collect(), key=str) for n in (10**9, 0))
+        assert one == many
+
+
+def test_rare_runs_stay_in_the_model(spark):
+    """One text among a million letters of others still teaches its runs."""
+    docs = spark.createDataFrame([("en", prose(i, 5_000)) for i in range(50)] + [("en", "zyzzyva")], "lang string, text string")
+    model = language_id.train(docs)
+    assert model.counts[4].agg(F.sum("n")).first()[0] > 10**6
+    zyzz = sum(ord(c) << (16 * (3 - i)) for i, c in enumerate("zyzz"))
+    assert [r.n for r in model.counts[4].where(F.col("gram") == zyzz).collect()] == [1]
+
+
 # 8
 
 
