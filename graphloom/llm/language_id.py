@@ -325,7 +325,7 @@ def _verdicts(model: Model | None, scores: Scores | None, text: pa.Array) -> lis
 
 
 def _different_runs(docs: DataFrame) -> DataFrame:
-    """``gram``: each run of ``ORDER`` letters of the texts once."""
+    """``gram``: each run of ``ORDER`` letters of the texts once, in the shared folder (each order of the model asks for them)."""
 
     def cut(batches):
         held = np.zeros(0, np.uint64)
@@ -337,7 +337,9 @@ def _different_runs(docs: DataFrame) -> DataFrame:
                 held = held[:0]
         yield pa.RecordBatch.from_arrays([pa.array(signed(held))], ["gram"])
 
-    return docs.select("text").mapInArrow(cut, "gram long").distinct()
+    path = scratch_path(docs.sparkSession, "different-runs")
+    docs.select("text").mapInArrow(cut, "gram long").distinct().write.parquet(path)
+    return docs.sparkSession.read.parquet(path)
 
 
 def _judged(docs: DataFrame, model: Model | None, names: list[str], shared_bytes: int = SHARED_BYTES) -> DataFrame:
