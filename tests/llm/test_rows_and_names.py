@@ -1,12 +1,14 @@
 """Rows that repeat an id, rows without one, columns with the names of inner ones, seats of many unequal shards."""
 
 import collections
+import os
 import random
 
 import pytest
 
 import corpus_pipeline
 from graphloom.llm import language_id, mixing, ngram_join, passages
+from graphloom.session import scratch_path
 from tests.llm.test_operators import plain, prose, sql
 
 INNER = ("score", "accepted", "lang_pred", "_id", "_row", "row", "_size", "size", "_spans", "spans", "_take", "taken", "shard", "end", "kept", "quality", "text_key", "Score", "quota")
@@ -91,3 +93,11 @@ def test_many_shards_against_sql(spark, tiny, monkeypatch):
     got = mixing.mix(docs, shard_words=500).select("doc_id", "size", "source_size", "target", "taken")
     want = sql(tiny, mixing.SQL.replace(str(mixing.SHARD_WORDS), "500"))
     assert plain(got.select(*want.columns).collect()) == plain(want.fetchall())
+
+
+def test_passages_leave_no_inner_folders(spark, tiny):
+    root = os.path.dirname(scratch_path(spark, "any").removeprefix("file://"))
+    before = set(os.listdir(root))
+    cut = passages.cut_passages(spark.read.parquet(f"{tiny}/documents.parquet"))
+    assert {x.split("-")[0] for x in set(os.listdir(root)) - before} == {"passages"}
+    assert cut.count() > 0
