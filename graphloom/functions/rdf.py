@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -97,26 +97,33 @@ def unescape_literal(c: Column) -> Column:
     """Undo N-Triples escapes, including ``\\uXXXX`` and ``\\UXXXXXXXX``."""
 
     def code_points(part: Column, marker: str, digits: int) -> Column:
-        pieces = F.split(part, marker)
-        decoded = F.transform(
-            F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))),
-            lambda x: F.concat(
-                F.decode(F.unhex(F.lpad(F.substring(x, 1, digits), 8, "0")), "UTF-32"),
-                F.substring(x, digits + 1, F.length(x)),
-            ),
-        )
-        return F.concat(F.element_at(pieces, 1), F.array_join(decoded, ""))
+        def joined(pieces: Column) -> Column:
+            decoded = F.transform(
+                F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))),
+                lambda x: F.concat(
+                    F.decode(F.unhex(F.lpad(F.substring(x, 1, digits), 8, "0")), "UTF-32"),
+                    F.substring(x, digits + 1, F.length(x)),
+                ),
+            )
+            return F.concat(F.element_at(pieces, 1), F.array_join(decoded, ""))
+
+        return once(part, lambda x: F.when(x.contains(marker), once(F.split(x, "\\" + marker), joined)).otherwise(x))
 
     def simple(part: Column) -> Column:
         for have, want in (("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t"), ("\\b", "\b"), ("\\f", "\f"), ('\\"', '"'), ("\\'", "'")):
             part = F.replace(part, F.lit(have), F.lit(want))
-        return code_points(code_points(part, r"\\u", 4), r"\\U", 8)
+        return code_points(code_points(part, r"\u", 4), r"\U", 8)
 
     # An escaped backslash can only stand between parts, so each part is free of them.
     whole = F.array_join(F.transform(F.split(c, r"\\\\"), simple), "\\")
     return F.when(c.contains("\\"), whole).otherwise(c)
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` worked out once, however often ``use`` names it; for expressions as long as a text."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def node_text(c: Column) -> Column:
     return F.when(c.startswith("_:"), c).otherwise(F.concat(F.lit("<"), c, F.lit(">")))
 
@@ -133,24 +140,34 @@ def triple_line(s: Column, p: Column, o: Column, kind: Column, datatype: Column,
 
 def parse_triple_line(line: Column) -> Column:
     """Struct ``s, p, o, o_kind, o_datatype, o_lang`` of an N-Triples line; null where malformed."""
-    part = F.split(F.regexp_replace(line, _HEAD, _SEPARATOR.join(["$1", "$2", "$3", "$4"])), _SEPARATOR, 4)
-    rest = F.get(part, F.lit(3))
-    iri, blank = (F.regexp_extract(rest, _NODE, k) for k in (1, 2))
-    text = F.regexp_extract(rest, _LITERAL, 1)
-    literal = rest.startswith('"')
-    well_formed = F.when(literal, rest.rlike(_LITERAL)).otherwise(rest.rlike(_NODE))
-    optional = lambda k: F.when(literal, F.nullif(F.regexp_extract(rest, _LITERAL, k), F.lit("")))
-    return F.when(
-        (F.size(part) == 4) & well_formed,
-        F.struct(
+    none = F.lit(None).cast("string")
+
+    def cut(c: Column, pattern: str, groups: Sequence[int]) -> Column:
+        """The groups of a line that matches; any other line stays one piece."""
+        return F.split(F.regexp_replace(c, pattern, _SEPARATOR.join(f"${k}" for k in groups)), _SEPARATOR, len(groups))
+
+    def triple(part: Column, kind: str, o: Column, datatype: Column, lang: Column) -> Column:
+        return F.struct(
             F.when(F.get(part, F.lit(1)) != "", F.get(part, F.lit(1))).otherwise(F.get(part, F.lit(0))).alias("s"),
-            F.get(part, F.lit(2)).alias("p"),
-            F.when(literal, unescape_literal(text)).when(blank != "", blank).otherwise(iri).alias("o"),
-            F.when(literal, "literal").otherwise("iri").alias("o_kind"),
-            optional(2).alias("o_datatype"),
-            optional(3).alias("o_lang"),
-        ),
-    )
+            F.get(part, F.lit(2)).alias("p"), o.alias("o"), F.lit(kind).alias("o_kind"), datatype.alias("o_datatype"), lang.alias("o_lang"),
+        )
+
+    def literal(part: Column, tail: Column) -> Column:
+        """``tail`` holds datatype, language and text, or the rest as it is, from its quote on."""
+        optional = lambda k: F.nullif(F.get(tail, F.lit(k)), F.lit(""))
+        text = once(F.get(tail, F.lit(2)), unescape_literal)
+        return F.when(~F.get(tail, F.lit(0)).startswith('"'), triple(part, "literal", text, optional(0), optional(1)))
+
+    def node(part: Column, rest: Column) -> Column:
+        iri, blank = (F.regexp_extract(rest, _NODE, k) for k in (1, 2))
+        return F.when(rest.rlike(_NODE), triple(part, "iri", F.when(blank != "", blank).otherwise(iri), none, none))
+
+    def whole(part: Column) -> Column:
+        rest = F.get(part, F.lit(3))
+        found = F.when(rest.startswith('"'), once(cut(rest, _LITERAL, (2, 3, 1)), lambda x: literal(part, x))).otherwise(node(part, rest))
+        return F.when(F.size(part) == 4, found)
+
+    return once(cut(line, _HEAD, (1, 2, 3, 4)), whole)
 
 
 def local_name(c: Column) -> Column:

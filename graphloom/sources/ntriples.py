@@ -27,7 +27,8 @@ def write_ntriples(graph: DataFrame, path: str, records_per_file: int = RECORDS_
 
 def _parsed(spark: SparkSession, path: str | list[str]) -> DataFrame:
     lines = spark.read.text(path).where(~F.col("value").rlike(r"^\s*(#.*)?$"))
-    return lines.select("value", parse_triple_line(F.col("value")).alias("t"))
+    # through ``explode`` of one element a line is parsed once, not again for each field and filter
+    return lines.select("value", F.explode(F.array(parse_triple_line(F.col("value")))).alias("t"))
 
 
 def read_ntriples(spark: SparkSession, path: str | list[str], distinct: bool = True, fail: bool = False) -> DataFrame:

@@ -163,3 +163,14 @@ def test_ntriples_set_failing_mode_and_whole_iris(spark, tmp_path):
     assert one.first()["u"] == "http://x.org/a?b=c"
     graph = read_ntriples(spark, path)
     assert T.add_triple(graph, "http://a", "http://p", "http://b").count() == 1
+
+
+def test_a_line_is_parsed_once(spark, tmp_path):
+    from graphloom.sources.ntriples import read_ntriples
+
+    (tmp_path / "a.nt").write_text('<a> <b> "x\\n\\u00e9 \\\\u0041 \\"q\\""@en .\n<a> <b> <c> .\njunk\n')
+    read = read_ntriples(spark, str(tmp_path / "a.nt"))
+    assert {tuple(r) for r in read.collect()} == {("a", "b", 'x\né \\u0041 "q"', "literal", None, "en"), ("a", "b", "c", "iri", None, None)}
+    plan = read._jdf.queryExecution().optimizedPlan().toString()
+    # one pass cuts the line, one the literal
+    assert plan.count("regexp_replace(") == 2
