@@ -60,7 +60,7 @@ def similarity(name: str, column: str, thresholds: Sequence[float] = (0.9, 0.8))
     ordered = sorted(thresholds, reverse=True)
 
     def conditions(l, r):
-        score = jaro_winkler_similarity(l(column), r(column))
+        score = jaro_winkler_similarity(l(column), r(column), ordered[-1] if ordered else 0.0)
         return [l(column) == r(column), *[score >= F.lit(float(t)) for t in ordered]]
 
     return Comparison(name, (column,), len(ordered) + 2, conditions)

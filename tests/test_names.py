@@ -5,6 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from graphloom.functions import names
 from graphloom.functions.names import (
     byte_matrix,
     byte_rows,
@@ -60,3 +61,21 @@ def test_column_form(spark):
     assert abs(rows[0]["s"] - 0.9611111111111111) < 1e-12 and rows[0]["l"]
     assert rows[1]["s"] == 0.0 and rows[2]["s"] is None
     assert abs(rows[3]["s"] - 2 / 3) < 1e-12
+
+
+def test_a_floor_spares_pairs_and_loses_none(monkeypatch):
+    rng = np.random.default_rng(3)
+    letters = np.array(list("abcdeéñ z"))
+    pool = ["".join(rng.choice(letters, rng.integers(0, 12))) for _ in range(120)] + ["a" * 80, "a" * 81, "ab" * 50]
+    pool += [x + "s" for x in pool] + [x[:-1] for x in pool]
+    left, right = (pa.array([pool[k] for k in rng.integers(0, len(pool), 20_000)]) for _ in range(2))
+    each = np.arange(len(left))
+    want = names.pair_scores(names.byte_rows(left), names.byte_rows(right), each, each)
+    scored = []
+    real = names.pair_scores
+    monkeypatch.setattr(names, "pair_scores", lambda a, b, i, j, floor: scored.append(len(i)) or real(a, b, i, j, floor))
+    assert (names.column_scores(left, right) == want).all()
+    for floor in (0.6, 0.8, 0.9):
+        got = names.column_scores(left, right, floor)
+        assert (got[want >= floor] == want[want >= floor]).all() and (got[want < floor] < floor).all()
+    assert scored[2] < 0.2 * len(left) and scored[3] < 0.1 * len(left)
