@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.names import jaro_winkler_similarity
-from graphloom.operators.linkage import TINY, blocking_pairs, bucketed
+from graphloom.operators.linkage import TINY, blocking_pairs, bucketed, counted, pair_count
+from graphloom.plans.skew import spread_pairs
 from graphloom.sources.tables import require_columns
 
 #: From the columns of a side (by name) to the conditions of the levels, best first.
@@ -90,10 +91,14 @@ class Settings:
     max_iterations: int = 25
     seed: int = 42
 
+    @property
+    def evidence(self) -> list[str]:
+        """Columns that rules and comparisons read."""
+        return list(dict.fromkeys([*[c for rule in self.rules for c in rule], *[c for k in self.comparisons for c in k.columns]]))
+
     @property
     def columns(self) -> list[str]:
-        wanted = [self.id_column, *[c for rule in self.rules for c in rule], *[c for k in self.comparisons for c in k.columns]]
-        return list(dict.fromkeys(wanted))
+        return list(dict.fromkeys([self.id_column, *self.evidence]))
 
     @property
     def gammas(self) -> list[str]:
@@ -112,12 +117,16 @@ def compared(pairs: DataFrame, settings: Settings) -> DataFrame:
     return pairs.select("*", *[c.gamma() for c in settings.comparisons])
 
 
-def candidate_pairs(left: DataFrame, right: DataFrame, settings: Settings) -> DataFrame:
-    """Pairs of any rule, each once, with their levels and, for each rule k, ``hit_k``."""
+def candidate_pairs(left: DataFrame, right: DataFrame, settings: Settings, alike_once: bool = False) -> DataFrame:
+    """Pairs of any rule, each once, with their levels and, for each rule k, ``hit_k``.
+
+    With ``alike_once`` records without their ids: those that agree in all that is compared are one row, with their number
+    ``_n_l`` and ``_n_r``. This is enough for :func:`pattern_table`.
+    """
     sides = []
     for df, name in ((left, "left"), (right, "right")):
         require_columns(df, settings.columns, f"the {name} table")
-        sides.append(df.select(*settings.columns))
+        sides.append(counted(df, settings.evidence) if alike_once else df.select(*settings.columns))
     pairs = compared(blocking_pairs(*sides, rules=[list(r) for r in settings.rules]), settings)
     hits = {}
     for k, rule in enumerate(settings.rules):
@@ -131,7 +140,7 @@ def candidate_pairs(left: DataFrame, right: DataFrame, settings: Settings) -> Da
 def pattern_table(pairs: DataFrame, settings: Settings) -> DataFrame:
     """Pairs by pattern and by the rules that they satisfy; counted in each task before the shuffle."""
     keys = [*settings.gammas, *[f"hit_{k}" for k in range(len(settings.rules))]]
-    return pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("pairs"))
+    return pairs.groupBy(*keys).agg(pair_count(pairs))
 
 
 def random_levels(left: DataFrame, right: DataFrame, settings: Settings) -> dict[str, dict[int, float]]:

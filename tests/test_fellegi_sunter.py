@@ -103,3 +103,10 @@ def test_candidates_plan(spark, tables):
     left, right = (spark.createDataFrame(rows, SCHEMA) for rows in tables)
     plan = G.candidate_pairs(left, right, SETTINGS)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_records_that_agree_in_all_are_compared_once(spark, tables):
+    left, right = (spark.createDataFrame(rows + [(f"{r[0]}+{k}", *r[1:]) for r in rows[:9] for k in range(5)], SCHEMA) for rows in tables)
+    every, once = G.candidate_pairs(left, right, SETTINGS), G.candidate_pairs(left, right, SETTINGS, alike_once=True)
+    assert {tuple(r) for r in G.pattern_table(every, SETTINGS).collect()} == {tuple(r) for r in G.pattern_table(once, SETTINGS).collect()}
+    assert once.count() < every.count()
