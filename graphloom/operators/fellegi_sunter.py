@@ -150,6 +150,8 @@ def random_levels(left: DataFrame, right: DataFrame, settings: Settings) -> dict
     for df, s in ((left, "l"), (right, "r")):
         keyed = bucketed(df.select(*settings.columns), settings.id_column, n_l, n_r, settings.pairs_per_record, settings.seed)
         sides.append(keyed.select("_bucket", *[F.col(c).alias(f"{c}_{s}") for c in settings.columns]))
+    # as many pairs as meet in even buckets
+    sides = spread_pairs(*sides, ["_bucket"], min(n_l, n_r) * settings.pairs_per_record)
     drawn = compared(sides[0].join(sides[1], "_bucket"), settings)
     rows = drawn.groupBy(*settings.gammas).agg(F.count(F.lit(1)).alias("pairs")).collect()
     out = {}
@@ -223,7 +225,7 @@ def fit(left: DataFrame, right: DataFrame, settings: Settings) -> tuple[Model, D
     """The model of two tables, and their candidate pairs (not kept: they are built again where they are read)."""
     u = random_levels(left, right, settings)
     pairs = candidate_pairs(left, right, settings)
-    rows = pattern_table(pairs, settings).collect()
+    rows = pattern_table(candidate_pairs(left, right, settings, alike_once=True), settings).collect()
     start = {
         c.name: {k: settings.m_top if k == c.levels - 1 else (1.0 - settings.m_top) / (c.levels - 1) for k in range(c.levels)}
         for c in settings.comparisons

@@ -110,3 +110,15 @@ def test_records_that_agree_in_all_are_compared_once(spark, tables):
     every, once = G.candidate_pairs(left, right, SETTINGS), G.candidate_pairs(left, right, SETTINGS, alike_once=True)
     assert {tuple(r) for r in G.pattern_table(every, SETTINGS).collect()} == {tuple(r) for r in G.pattern_table(once, SETTINGS).collect()}
     assert once.count() < every.count()
+
+
+def test_random_pairs_are_spread_over_tasks(spark, tables, monkeypatch):
+    from graphloom.plans import skew
+
+    left, right = (spark.createDataFrame(rows, SCHEMA) for rows in tables)
+    want = G.random_levels(left, right, SETTINGS)
+    asked = []
+    spread = skew.spread_pairs
+    monkeypatch.setattr(skew, "PAIRS_PER_TASK", 200)
+    monkeypatch.setattr(G, "spread_pairs", lambda *a: asked.append([x.rdd.getNumPartitions() for x in spread(*a)]) or spread(*a))
+    assert G.random_levels(left, right, SETTINGS) == want and asked == [[12, 12]]
