@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import pickle
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -106,6 +106,7 @@ class Model:
     counts: dict[int, DataFrame]  # by order: lang (place in ``languages``), gram, n
     discounts: dict[int, list[float]]  # by order, for each language
     letters: int  # different letters of all languages
+    tables: dict[int, tuple[DataFrame, DataFrame]] = field(default_factory=dict)  # by order, see ``_seen_and_left``
     scored: DataFrame | None = None  # gram, logs: the training runs in all languages
     mean: np.ndarray | None = None  # of a language's own text, per character
     deviation: np.ndarray | None = None
@@ -179,19 +180,33 @@ def _list(matrix: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(matrix) + 1, dtype=np.int32) * matrix.shape[1], pa.int32()), pa.array(matrix.ravel()))
 
 
-def _probabilities(model: Model, grams: DataFrame, order: int) -> DataFrame:
-    """``gram, p`` of different runs of ``order`` letters: the last one's probability after the others, in every language."""
-    size = len(model.languages)
-    cut = F.element_at(F.array(*[F.lit(d) for d in model.discounts[order]]), F.col("lang") + 1)
+def _written(table: DataFrame, name: str) -> DataFrame:
+    """``table`` in the shared folder. Each step is a plan of its own: one plan of all orders is planned anew after each of its many shuffles, in the driver's memory."""
+    path = scratch_path(table.sparkSession, name)
+    table.write.parquet(path)
+    return table.sparkSession.read.parquet(path)
+
+
+def _seen_and_left(counts: DataFrame, discounts: list[float], order: int) -> tuple[DataFrame, DataFrame]:
+    """Of the training runs of ``order`` letters ``gram, seen``: discounted shares by language; of what precedes the last letter ``context, left``: the weights of shorter runs."""
+    cut = F.element_at(F.array(*[F.lit(d) for d in discounts]), F.col("lang") + 1)
     # at most as many rows in a window as there are letters
     same = Window.partitionBy("lang", "context")
-    counted = model.counts[order].withColumn("context", F.shiftrightunsigned("gram", 16)).withColumns({"all": F.sum("n").over(same), "kinds": F.count("*").over(same)})
+    counted = counts.withColumn("context", F.shiftrightunsigned("gram", 16)).withColumns({"all": F.sum("n").over(same), "kinds": F.count("*").over(same)})
     seen = counted.groupBy("gram").agg(F.collect_list(F.struct("lang", (F.greatest(F.col("n") - cut, F.lit(0.0)) / F.col("all")).alias("p"))).alias("seen"))
     left = counted.select("lang", "context", (cut * F.col("kinds") / F.col("all")).alias("p")).distinct().groupBy("context").agg(F.collect_list(F.struct("lang", "p")).alias("left"))
+    return _written(seen, f"seen-{order}"), _written(left, f"left-{order}")
+
+
+def _probabilities(model: Model, grams: DataFrame, order: int) -> DataFrame:
+    """``gram, p`` of different runs of ``order`` letters: the last one's probability after the others, in every language."""
+    size = len(model.languages)
+    seen, left = model.tables[order]
     asked = grams.withColumns({"context": F.shiftrightunsigned("gram", 16), "short": F.col("gram").bitwiseAND(F.lit(_mask(order - 1)))})
+    if order > 1:
+        shorter = _written(_probabilities(model, _written(asked.select(F.col("short").alias("gram")).distinct(), f"asked-{order - 1}"), order - 1), f"scored-{order - 1}")
     asked = asked.join(seen, "gram", "left").join(left, "context", "left")
     if order > 1:
-        shorter = _probabilities(model, asked.select(F.col("short").alias("gram")).distinct(), order - 1)
         asked = asked.join(shorter.select(F.col("gram").alias("short"), F.col("p").alias("low")), "short")
     else:
         asked = asked.withColumn("low", F.array(*[F.lit(1.0 / (model.letters + 1))] * size))
@@ -207,10 +222,8 @@ def _probabilities(model: Model, grams: DataFrame, order: int) -> DataFrame:
 
 def scores(model: Model, grams: DataFrame) -> DataFrame:
     """``gram, logs`` of different runs of ``ORDER`` letters, in the shared folder."""
-    path = scratch_path(grams.sparkSession, "run-scores")
     logs = F.transform("p", lambda p: F.log(p).cast("float")).alias("logs")
-    _probabilities(model, grams, ORDER).select("gram", logs).write.parquet(path)
-    return grams.sparkSession.read.parquet(path)
+    return _written(_probabilities(model, _written(grams, f"asked-{ORDER}"), ORDER).select("gram", logs), "run-scores")
 
 
 def _calibrated(model: Model) -> Model:
@@ -270,23 +283,20 @@ def train(docs: DataFrame) -> Model | None:
         yield from flush()
 
     rows = docs.where("text is not null and lang is not null").select("text", "lang")
-    path = scratch_path(spark, "runs")
-    rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).write.parquet(path)
-    counts = spark.read.parquet(path)
+    counts = _written(rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "runs")
     languages = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
     if not languages:
         return None
     places = spark.createDataFrame(list(enumerate(languages)), "place int, lang string")
     model = Model(languages, {ORDER: counts.join(places, "lang").select(F.col("place").alias("lang"), "gram", "n")}, {}, 0)
     for order in range(ORDER - 1, 0, -1):  # below the highest order a count is the number of different letters before
-        path = scratch_path(spark, f"runs-{order}")
         short = F.col("gram").bitwiseAND(F.lit(_mask(order))).alias("gram")
-        model.counts[order + 1].groupBy("lang", short).agg(F.count("*").alias("n")).write.parquet(path)
-        model.counts[order] = spark.read.parquet(path)
+        model.counts[order] = _written(model.counts[order + 1].groupBy("lang", short).agg(F.count("*").alias("n")), f"runs-{order}")
     for order, table in model.counts.items():
         seldom = table.groupBy("lang").agg(F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice")).collect()
         cut = {r["lang"]: _discount(r["once"], r["twice"]) for r in seldom}
         model.discounts[order] = [cut[i] for i in range(len(languages))]
+        model.tables[order] = _seen_and_left(table, model.discounts[order], order)
     model.letters = model.counts[1].select("gram").distinct().count()
     model.scored = scores(model, model.counts[ORDER].select("gram").distinct())
     return _calibrated(model)
@@ -337,9 +347,7 @@ def _different_runs(docs: DataFrame) -> DataFrame:
                 held = held[:0]
         yield pa.RecordBatch.from_arrays([pa.array(signed(held))], ["gram"])
 
-    path = scratch_path(docs.sparkSession, "different-runs")
-    docs.select("text").mapInArrow(cut, "gram long").distinct().write.parquet(path)
-    return docs.sparkSession.read.parquet(path)
+    return _written(docs.select("text").mapInArrow(cut, "gram long").distinct(), "different-runs")
 
 
 def _judged(docs: DataFrame, model: Model | None, names: list[str], shared_bytes: int = SHARED_BYTES) -> DataFrame:
@@ -351,7 +359,7 @@ def _judged(docs: DataFrame, model: Model | None, names: list[str], shared_bytes
         return docs.select("*", *[F.lit(v).cast(k).alias(c) for c, k, v in zip(names, kinds, (UNKNOWN, 0.0, False))])
     new = scores(model, _different_runs(docs).join(model.scored.select("gram"), "gram", "left_anti"))
     scored = model.scored.unionByName(new)
-    plain = Model(model.languages, {}, {}, model.letters, None, model.mean, model.deviation, model.margin)
+    plain = Model(model.languages, {}, {}, model.letters, mean=model.mean, deviation=model.deviation, margin=model.margin)
     size = len(model.languages)
     if scored.count() * (8 + 4 * size) > shared_bytes:
         return _judged_in_chunks(docs, scored, plain, schema)

@@ -389,6 +389,13 @@ def test_language_id_in_chunks(spark, awkward, empty, small, monkeypatch):
         assert one == many
 
 
+def test_each_order_is_planned_alone(spark):
+    """Spark plans and describes the whole of a plan anew after each of its shuffles, in the memory of the driver."""
+    model = language_id.train(spark.createDataFrame([("en", "the cat"), ("de", "der hund")], "lang string, text string"))
+    plan = language_id._probabilities(model, model.scored.select("gram"), language_id.ORDER)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 6 and "Window" not in plan
+
+
 def test_rare_runs_stay_in_the_model(spark):
     """One text among a million letters of others still teaches its runs."""
     docs = spark.createDataFrame([("en", prose(i, 5_000)) for i in range(50)] + [("en", "zyzzyva")], "lang string, text string")
