@@ -43,8 +43,10 @@ LOW = -1e18
 _UNITS = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
 _BEGIN = re.compile(f"(?<!{BLANK}){BLANK}")
 _LEAD = np.uint64(44)
-#: Bytes of text that are segmented together.
-TOGETHER = 8_000_000
+#: Bytes of text that are segmented together; arrays of some thirty times as many bytes stand beside them, in each of an executor's workers.
+TOGETHER = 3_000_000
+#: Ids that are decoded together.
+DECODED = 500_000
 
 
 def zipf_scores(n: int) -> np.ndarray:
@@ -442,6 +444,16 @@ def _lists(ids: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([np.zeros(0, np.int32), *ids]).astype(np.int32, copy=False), pa.int32()))
 
 
+def _by_ids(batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
+    """``batch`` in slices of about ``DECODED`` ids, and one row at least."""
+    total = np.cumsum(batch.column("ids").value_lengths().fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        end = max(int(np.searchsorted(total, (total[at - 1] if at else 0) + DECODED, "right")), at + 1)
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def decode(encoded: DataFrame, model_path: str = MODEL) -> DataFrame:
     """``encoded`` with ``decoded``, the text of ``ids``."""
     shared = encoded.sparkSession.sparkContext.broadcast(load(model_path))
@@ -452,7 +464,7 @@ def decode(encoded: DataFrame, model_path: str = MODEL) -> DataFrame:
         pieces = np.array([p.replace(BLANK, " ") for p in model["pieces"]], object)
         plain = np.ones(len(pieces), bool)
         plain[model["bytes"]] = False
-        for batch in batches:
+        for batch in (part for whole in batches for part in _by_ids(whole)):
             out = []
             for ids in batch.column("ids"):
                 ids = ids.values.to_numpy()

@@ -503,6 +503,30 @@ def test_units_together_as_one_by_one():
     assert all(len(x) == 0 for x in sentencepiece_scan.segmented(model, ["", ""]))
 
 
+def test_ids_are_decoded_in_parts(monkeypatch):
+    monkeypatch.setattr(sentencepiece_scan, "DECODED", 5)
+    lists = [[1, 2, 3], None, [], [4, 5, 6], list(range(9)), [7]]
+    batch = pa.RecordBatch.from_arrays([pa.array(lists, pa.list_(pa.int32()))], ["ids"])
+    for b in (batch, batch.slice(1)):
+        parts = list(sentencepiece_scan._by_ids(b))
+        assert [x for p in parts for x in p.column("ids").to_pylist()] == b.column("ids").to_pylist()
+        assert all(p.num_rows == 1 or sum(len(x or []) for x in p.column("ids").to_pylist()) <= 5 for p in parts) and len(parts) > 2
+
+
+def test_segmentation_stays_in_bounds():
+    """Arrays beside a step of texts: a worker has two to four neighbours and the heap in one executor."""
+    import tracemalloc
+
+    model, words = sentencepiece_scan.load(), [f"w{i}" for i in range(2_000)]
+    random.seed(5)
+    texts = [sentencepiece_scan.normalised(" ".join(random.choices(words, k=300))) for _ in range(sentencepiece_scan.TOGETHER // 1_500)]
+    tracemalloc.start()
+    sentencepiece_scan.segmented(model, texts)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 120_000_000
+
+
 def test_round_trip(spark, awkward, empty, tiny):
     docs = spark.read.parquet(f"{tiny}/documents.parquet")
     rows = sentencepiece_scan.decode(sentencepiece_scan.encode(docs, chunk=1_000)).collect()
