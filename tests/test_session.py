@@ -1,6 +1,7 @@
 """Scratch folders and how long they stay."""
 
 import os
+import time
 
 import pytest
 
@@ -28,3 +29,25 @@ def test_scratch_scope_after_an_error(spark):
     outside = scratch_path(spark, "outside")
     spark.range(2).write.parquet(outside)
     assert not os.path.exists(path) and spark.read.parquet(outside).count() == 2
+
+
+def test_scratch_scope_deletes_shuffles(spark):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    jsc = spark.sparkContext._jsc.sc()
+
+    def shuffles():
+        blocks = jsc.env().blockManager().diskBlockManager().getAllFiles()
+        return sum(blocks.apply(i).getName().startswith("shuffle_") for i in range(blocks.size()))
+
+    kept = scratch_path(spark, "kept")
+    with scratch_scope(spark):
+        assert spark.conf.get(key) == "true"
+        before = shuffles()
+        spark.range(1_000).repartition(4, "id").write.parquet(kept)
+        for _ in range(50):
+            if shuffles() <= before:
+                break
+            time.sleep(0.1)
+        assert shuffles() <= before
+    assert spark.conf.get(key, None) is None
+    assert spark.read.parquet(kept).count() == 1_000
