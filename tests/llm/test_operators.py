@@ -218,6 +218,31 @@ def test_passages_around_a_frequent_line(spark):
         assert [i for i, c in covered.items() if not c[60:120].all()] == []
 
 
+def test_near_passages_of_frequent_lines(spark):
+    """Near copies, each with a word changed in the frequent line that is most of them, around many lines in foreign contexts."""
+    line = prose(5000, 44).split()
+    changed = lambda i: " ".join([*line[:22], f"changed{i}", *line[23:]])
+    around = lambda i, middle: f"{prose(6000 + i, 8)} {middle} {prose(7000 + i, 8)}"
+    first, second, foreign = range(100, 140), range(300, 340), [*range(20), *range(200, 240), *range(400, 420)]
+    texts = {i: f"{prose(10_000 + i, 60)} {around(20_000 + i, ' '.join(line))} {prose(30_000 + i, 60)}" for i in foreign}
+    texts |= {i: f"{prose(10_000 + i, 60)} {around(i, ' '.join(line))} {prose(30_000 + i, 60)}" for i in first}
+    texts |= {i: f"{prose(10_000 + i, 60)} {around(i - 200, changed(i))} {prose(30_000 + i, 60)}" for i in second}
+    docs = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")
+    for n in (1, 40):
+        found = passages.repeated_passages(docs.repartition(n, "doc_id")).collect()
+        assert {r.doc_id for r in found if r.of_doc_id == r.doc_id - 200} >= set(second)
+
+
+def test_near_passages_of_frequent_tokens_alone(spark):
+    """Two frequent lines with a word of their own between them: nothing that two documents share is rare."""
+    one, other = prose(5001, 30), prose(5002, 30)
+    texts = {i: f"{prose(10_000 + i, 60)} {one} {prose(20_000 + i, 60)} {other} {prose(30_000 + i, 60)}" for i in range(30)}
+    texts |= {i: f"{prose(10_000 + i, 60)} {one} between{i} {other} {prose(30_000 + i, 60)}" for i in range(100, 140)}
+    docs = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")
+    for n in (1, 40):
+        assert {r.doc_id for r in passages.repeated_passages(docs.repartition(n, "doc_id")).collect()} == set(range(101, 140))
+
+
 def test_passages_awkward(awkward, empty):
     assert {r.doc_id for r in passages.repeated_passages(awkward).collect()} == {2}
     cut = passages.cut_passages(awkward)
