@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 
 import duckdb
 import numpy as np
@@ -243,6 +244,32 @@ def test_near_passages_of_frequent_tokens_alone(spark):
         assert {r.doc_id for r in passages.repeated_passages(docs.repartition(n, "doc_id")).collect()} == set(range(101, 140))
 
 
+def test_memory_of_passage_tasks():
+    """A task's arrays while it cuts a million windows, and while it deals out a million places, and what it gives at once."""
+
+    def most(rows) -> tuple[int, int]:
+        tracemalloc.start()
+        largest = max(batch.nbytes for batch in rows)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return peak, largest
+
+    class Docs:
+        def mapInArrow(self, cut, schema):
+            return cut
+
+    rng = np.random.default_rng(3)
+    words = np.array([f"w{i}" for i in range(5000)])
+    texts = [" ".join(words[rng.integers(0, 5000, 60_000)]) for _ in range(50)]
+    docs = pa.RecordBatch.from_arrays([pa.array(range(50), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    peak, largest = most(passages._window_rows(Docs(), 46)([docs] * 2))
+    assert peak < 85e6 and largest < 8e6
+    token, doc = rng.integers(0, 200_000, 1_000_000) << 1, np.repeat(np.arange(2000), 500)
+    held = [np.column_stack([token, doc, np.tile(np.arange(500), 2000)])]
+    peak, largest = most(passages._places(held, 46, 400, 9))
+    assert peak < 105e6 and largest < 8e6
+
+
 def test_passages_awkward(awkward, empty):
     assert {r.doc_id for r in passages.repeated_passages(awkward).collect()} == {2}
     cut = passages.cut_passages(awkward)
