@@ -122,3 +122,17 @@ def test_random_pairs_are_spread_over_tasks(spark, tables, monkeypatch):
     monkeypatch.setattr(skew, "PAIRS_PER_TASK", 200)
     monkeypatch.setattr(G, "spread_pairs", lambda *a: asked.append([x.rdd.getNumPartitions() for x in spread(*a)]) or spread(*a))
     assert G.random_levels(left, right, SETTINGS) == want and asked == [[12, 12]]
+
+
+def test_a_block_of_more_than_a_thousand_different_records(spark):
+    """Above ``piece_rows`` blocks are cut: patterns, training and scores of records that are counted."""
+    days = [datetime.date(1990, 1, 1), datetime.date(1990, 1, 16)]
+    sides = [[(f"{t}{i}", f"{c * 9} {i}", days[i % 2], "x", 1.0, "e") for i in range(n)] for t, c, n in (("L", "a", 2_400), ("R", "b", 60))]
+    sides = [[*rows, *[(f"{r[0]}+", *r[1:]) for r in rows[:5]]] for rows in sides]
+    settings = G.Settings((G.equality("name", "name"), G.equality("city", "city")), (("born",), ("name", "city")), pairs_per_record=40)
+    left, right = (spark.createDataFrame(rows, SCHEMA) for rows in sides)
+    table = G.pattern_table(G.candidate_pairs(left, right, settings, alike_once=True), settings).collect()
+    n = sum(a[2] == b[2] for a in sides[0] for b in sides[1])
+    assert [(r["gamma_name"], r["gamma_city"], r["hit_0"], r["hit_1"], r["pairs"]) for r in table] == [(0, 1, True, False, n)]
+    model, pairs = G.fit(left, right, settings)
+    assert pairs.count() == n == G.scored(pairs, model, threshold=0.0).count()
