@@ -202,6 +202,49 @@ def test_every_candidate_of_one_start_is_verified(spark):
     assert [i for i, c in covered.items() if not c[:200].all()] == []
 
 
+def test_stretches_of_many_pairs_are_verified_at_once():
+    """Against sets of each stretch alone: edits, tokens that stand again and again, stretches too short to hold a passage."""
+
+    def alone(b, a, width, percent):
+        at = {}
+        for i, t in enumerate(a):
+            at.setdefault(t, i)
+        todo = [([i for i, t in enumerate(b) if t in at], 0)] if min(len(a), len(b)) >= width else []
+        while todo:
+            shared, k = todo.pop()
+            cuts = [0, *[i for i in range(1, len(shared)) if shared[i] - shared[i - 1] > passages.GAPS[k]], len(shared)]
+            for run in (shared[x:y] for x, y in zip(cuts, cuts[1:])):
+                if not run or run[-1] - run[0] + 1 < width:
+                    continue
+                x, y, to = run[0], run[-1], [at[b[i]] for i in run]
+                shifts = sorted(j - i for i, j in zip(run, to))
+                shift = int((shifts[(len(run) - 1) // 2] + shifts[len(run) // 2]) / 2)
+                one, best = set(b[x : y + 1]), (0.0, 0, 0)
+                for s, e in ((min(to), max(to)), (max(x + shift, 0), min(y + shift, len(a) - 1))):
+                    other = set(a[s : e + 1])
+                    if 100 * len(one & other) >= percent * len(one | other):
+                        best = max(best, (len(one & other) / len(one | other), s, e))
+                if best[0]:
+                    yield x, y, best[1], best[2], best[0]
+                elif k + 1 < len(passages.GAPS):
+                    todo.append((run, k + 1))
+
+    rng = random.Random(3)
+    pairs = []
+    for i in range(400):
+        b = [rng.randrange((3, 60, 500, 2**32)[i % 4]) for _ in range(rng.randrange(1, 200))]
+        a = list(b)
+        for _ in range(rng.randrange(6)):
+            x, n = rng.randrange(len(a)), rng.randrange(1, 25)
+            a[x : x + rng.choice([0, n])] = [rng.randrange(2**32) for _ in range(n)]
+        a = rng.choice([a, a[len(a) // 2 :] + a, a[rng.randrange(len(a)) :]])
+        pairs.append((b, a) if rng.random() < 0.5 else (a, b))
+    want = sorted((i, *r) for i, (b, a) in enumerate(pairs) for r in alone(b, a, 46, 80))
+    flat = [(np.array([t for p in pairs for t in p[k]], np.uint32), np.cumsum([0, *[len(p[k]) for p in pairs]])) for k in (0, 1)]
+    found = passages._verified(*flat[0], *flat[1], 46, 80)
+    assert sorted((*r[:5], r[5] / r[6]) for r in found.tolist()) == want and len(want) > 100
+
+
 def test_passages_around_a_frequent_line(spark):
     """Passages of which most is a line that stands in foreign contexts too, before, between and behind, over many partitions."""
     line = prose(5000, 44)
