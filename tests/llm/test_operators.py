@@ -542,6 +542,37 @@ def test_components_against_all_pairs(spark, monkeypatch, size, percent):
     assert got == exact_components(texts, size, percent)
 
 
+def test_ngram_join_deletes_shuffles(spark, monkeypatch):
+    """The shuffles of n-grams, canopies and cells go once what they give is written."""
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    key, seen, write = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", {}, DataFrameWriter.parquet
+
+    def noted(self, path, *more, **names):
+        seen[path.split("/")[-1].split("-")[0]] = spark.conf.get(key, None)
+        return write(self, path, *more, **names)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", noted)
+    base = [prose(i, 80) for i in range(10)]
+    docs = spark.createDataFrame([(i, base[i % 10] + f" end{i}") for i in range(60)], "doc_id long, text string")
+    result = ngram_join.near_duplicates(docs)
+    assert {seen[x] for x in ("canopies", "survivors", "edges", "parents")} == {"true"} and spark.conf.get(key, None) is None
+    assert {r.component_id for r in result.collect()} == set(range(10))
+
+
+def test_sets_of_texts_against_sorted_words():
+    texts = [prose(i, 5 + 7 * i) + (" again and again and again" * (i % 3)) for i in range(12)]
+    texts[3:3] = ["two words", None, "", "Two WORDS", "one"]
+    none = np.zeros(0, np.uint64)
+    sets = ngram_join.Sets(pa.array(texts), 3, none, none)
+    for i, t in enumerate(texts):
+        words = (t or "").lower().split()
+        grams = {tuple(words[j : j + 3]) for j in range(max(len(words) - 2, min(len(words), 1)))}
+        key = sets.key[sets.at[i] : sets.at[i + 1]]
+        assert sets.n[i] == len(grams) == len(key) and (np.diff(key.astype(np.float64)) >= 0).all() and (sets.text[sets.at[i] : sets.at[i + 1]] == i).all()
+    assert sets.digest[3] == sets.digest[6] != sets.digest[7]
+
+
 def test_ngram_join_awkward(awkward, empty):
     rows = ngram_join.near_duplicates(awkward).collect()
     assert len(rows) == awkward.count()
